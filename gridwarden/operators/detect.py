@@ -230,6 +230,15 @@ def signature_rules(spark):
     return spark.createDataFrame(list(K.SIGNATURE_RULES), schemas.SIGNATURE_RULES)
 
 
+def _search_form(pattern):
+    """The pattern without a leading '.*', which a search does not need.
+
+    Java would otherwise try it again from every position of a long line.
+    """
+    bare = pattern.startswith(".*") and pattern[2:3] not in ("?", "+", "{")
+    return "(?d)" + (pattern[2:] if bare else pattern)
+
+
 def match_signatures(records, rules=K.SIGNATURE_RULES):
     """Records whose payload or request matches a rule for their protocol and port.
 
@@ -241,7 +250,7 @@ def match_signatures(records, rules=K.SIGNATURE_RULES):
         hits = [
             F.when(
                 (F.col("proto") == proto) & (F.col("dst_port") == port)
-                & F.col(field).rlike("(?d)" + pattern),
+                & F.col(field).rlike(_search_form(pattern)),
                 F.struct(F.lit(rule).alias("rule"), F.lit(event).alias("event")))
             for rule, proto, port, field, pattern, event in rules
         ]
@@ -249,9 +258,9 @@ def match_signatures(records, rules=K.SIGNATURE_RULES):
             F.array(*hits), lambda h: h.isNotNull()))).withColumns(
             {"rule": F.col("hit.rule"), "event": F.col("hit.event")})
     else:
-        found = records.join(rules, ["proto", "dst_port"]).where(
-            F.expr("CASE field WHEN 'payload' THEN payload WHEN 'http_request' "
-                   "THEN http_request END RLIKE concat('(?d)', pattern)"))
+        found = records.join(rules, ["proto", "dst_port"]).where(F.expr(
+            "CASE field WHEN 'payload' THEN payload WHEN 'http_request' THEN http_request END "
+            r"RLIKE concat('(?d)', regexp_replace(pattern, r'^\.\*(?![?+{])', ''))"))
     return found.select(
         "ts", "rule", F.lit(K.SIGNATURE_NOTE).alias("note_type"),
         F.concat(F.col("src_h"), F.lit(": "), F.col("event")).alias("message"),

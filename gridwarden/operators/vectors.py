@@ -26,9 +26,10 @@ def hashing_encoder(dim=64):
         words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
         slots = F.transform(words, lambda w: F.pmod(
             F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int"), F.lit(dim)))
-        return F.transform(
+        # Bound to a lambda variable, so that the slots are worked out once per text.
+        return F.get(F.transform(F.array(slots), lambda found: F.transform(
             F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("float"))
+            lambda i: F.size(F.filter(found, lambda s: s == i)).cast("float"))), F.lit(0))
     return encode
 
 
@@ -70,15 +71,13 @@ def nearest(queries, refs, k, broadcast_values=BROADCAST_VALUES, cells=CELLS,
     """The ``k`` nearest references of each query, exactly.
 
     Both inputs are (id, vec). Distances are rounded to RANK_DIGITS before ranking, and
-    equal ones are ordered by reference id. A zero vector has no direction and takes no
-    part. Result: query_id, ref_id, distance, rank.
+    equal ones are ordered by reference id. A zero or missing vector has no direction and
+    takes no part. Result: query_id, ref_id, distance, rank.
 
     References whose vectors fit in ``broadcast_values`` numbers go to every task. More
     than that are grouped around pivots, and a query only meets the groups that can hold
     one of its neighbours.
     """
-    queries = queries.where(_has_direction("vec"))
-    refs = refs.where(_has_direction("vec"))
     schema = _result_schema(queries, refs)
     values = refs.agg(F.sum(F.size("vec")).alias("n")).first()["n"]
     if values is None:
@@ -88,10 +87,6 @@ def nearest(queries, refs, k, broadcast_values=BROADCAST_VALUES, cells=CELLS,
     return _nearest_by_cell(queries, refs, k, schema, cells, left_rows, right_rows)
 
 
-def _has_direction(vec):
-    return F.exists(vec, lambda x: x != 0)
-
-
 def _result_schema(queries, refs):
     return T.StructType([
         T.StructField("query_id", queries.schema["id"].dataType),
@@ -101,14 +96,17 @@ def _result_schema(queries, refs):
     ])
 
 
-def _units(vectors):
-    m = np.asarray(vectors.tolist(), dtype=np.float64)
-    return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+def _units(pdf):
+    """Ids and unit vectors of the rows whose vector is not zero."""
+    pdf = pdf[pdf["vec"].notna()]
+    m = np.asarray(pdf["vec"].tolist(), dtype=np.float64).reshape(len(pdf), -1)
+    norms = np.sqrt((m * m).sum(axis=1))
+    keep = norms > 0
+    return pdf["id"].to_numpy()[keep], m[keep] / norms[keep, None]
 
 
-def _matrix(table, name="vec"):
-    column = table.column(name).combine_chunks()
-    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
+def _table_units(table):
+    return _units(table.select(["id", "vec"]).to_pandas())
 
 
 def _top_k(query_units, ref_units, k):
@@ -130,16 +128,16 @@ def _top_k(query_units, ref_units, k):
 
 def _nearest_broadcast(queries, refs, k, schema):
     rows = refs.select("id", "vec").orderBy("id").toPandas()  # size checked by the caller
-    ids = rows["id"].to_numpy()
-    shared = queries.sparkSession.sparkContext.broadcast((ids, _units(rows["vec"])))
+    shared = queries.sparkSession.sparkContext.broadcast(_units(rows))
 
     def run(batches):
         ref_ids, ref_units = shared.value
         for pdf in batches:
-            if len(pdf):
-                row, ref, value, rank = _top_k(_units(pdf["vec"]), ref_units, k)
+            ids, units = _units(pdf)
+            if len(ids) and len(ref_ids):
+                row, ref, value, rank = _top_k(units, ref_units, k)
                 yield pd.DataFrame({
-                    "query_id": pdf["id"].to_numpy()[row], "ref_id": ref_ids[ref],
+                    "query_id": ids[row], "ref_id": ref_ids[ref],
                     "distance": value, "rank": rank.astype(np.int32)})
 
     return queries.select("id", "vec").mapInPandas(run, schema)
@@ -156,9 +154,9 @@ def _nearest_by_cell(queries, refs, k, schema, cells, left_rows, right_rows):
     the query's k-th distance, and cells that start beyond the bound are not visited.
     """
     spark = queries.sparkSession
-    pivots = _units(refs.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(
-        cells).toPandas()["vec"])
-    shared = spark.sparkContext.broadcast(pivots)
+    whole = F.exists("vec", lambda x: x != 0)
+    pivots = refs.select("id", "vec").where(whole).orderBy(F.xxhash64("id"), "id").limit(cells)
+    shared = spark.sparkContext.broadcast(_units(pivots.toPandas())[1])
     ref_type = refs.schema["id"].dataType.simpleString()
     query_type = queries.schema["id"].dataType.simpleString()
 
@@ -168,13 +166,17 @@ def _nearest_by_cell(queries, refs, k, schema, cells, left_rows, right_rows):
 
     def assign(batches):
         for pdf in batches:
-            if len(pdf):
-                dist = to_pivots(_units(pdf["vec"]))
+            ids, units = _units(pdf)
+            if len(ids):
+                dist = to_pivots(units)
                 cell = dist.argmin(axis=1)
-                yield pdf.assign(cell=cell.astype(np.int32), far=dist[np.arange(len(pdf)), cell])
+                yield pd.DataFrame({
+                    "id": ids, "vec": list(units), "cell": cell.astype(np.int32),
+                    "far": dist[np.arange(len(ids)), cell]})
 
+    # Unit vectors in double precision from here on.
     placed = materialize(refs.select("id", "vec").mapInPandas(
-        assign, f"id {ref_type}, vec array<float>, cell int, far double"), "cells")
+        assign, f"id {ref_type}, vec array<double>, cell int, far double"), "cells")
     # One row per pivot.
     stats = placed.groupBy("cell").agg(
         F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).toPandas()
@@ -183,36 +185,33 @@ def _nearest_by_cell(queries, refs, k, schema, cells, left_rows, right_rows):
 
     def visits(batches):
         for pdf in batches:
-            if not len(pdf):
+            ids, units = _units(pdf)
+            if not len(ids) or not len(cell_ids):
                 continue
-            d = to_pivots(_units(pdf["vec"]))[:, cell_ids]
+            d = to_pivots(units)[:, cell_ids]
             reach = d + high
             order = np.argsort(reach, axis=1)
             enough = (np.cumsum(n[order], axis=1) >= k).argmax(axis=1)
-            if n.sum() < k:
-                bound = np.full(len(pdf), np.inf)
-            else:
-                bound = reach[np.arange(len(pdf)), order[np.arange(len(pdf)), enough]]
+            rows = np.arange(len(ids))
+            bound = reach[rows, order[rows, enough]] if n.sum() >= k else np.full(len(ids), 9.0)
             nearest_possible = np.maximum(d - high, low - d)
             row, cell = np.nonzero(nearest_possible <= bound[:, None] + slack)
             yield pd.DataFrame({
-                "id": pdf["id"].to_numpy()[row], "vec": pdf["vec"].to_numpy()[row],
+                "id": ids[row], "vec": list(units[row]),
                 "cell": cell_ids[cell].astype(np.int32)})
 
     asked = materialize(queries.select("id", "vec").mapInPandas(
-        visits, f"id {query_type}, vec array<float>, cell int"), "visits")
+        visits, f"id {query_type}, vec array<double>, cell int"), "visits")
 
     def piece(left, right):
-        if left.num_rows == 0 or right.num_rows == 0:
+        query_ids, q = _table_units(left)
+        ref_ids, r = _table_units(right.sort_by("id"))
+        if not len(query_ids) or not len(ref_ids):
             return _empty(left, right)
-        right = right.sort_by("id")
-        q, r = _matrix(left), _matrix(right)
-        q /= np.sqrt((q * q).sum(axis=1, keepdims=True))
-        r /= np.sqrt((r * r).sum(axis=1, keepdims=True))
         row, ref, value, rank = _top_k(q, r, k)
         return pa.table({
-            "query_id": left.column("id").take(pa.array(row)),
-            "ref_id": right.column("id").take(pa.array(ref)),
+            "query_id": pa.array(query_ids[row], left.schema.field("id").type),
+            "ref_id": pa.array(ref_ids[ref], right.schema.field("id").type),
             "distance": value, "rank": pa.array(rank.astype(np.int32))})
 
     found = cell_join(asked, placed.drop("far"), "id", "id", left_rows, right_rows, piece, schema)

@@ -2,10 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from gridwarden import sinks
 from gridwarden.functions import constants as K
 from gridwarden.operators import correlate, fuzzy, vectors
 from gridwarden.plans import adapters as A, sql as S
 from gridwarden.plans.registry import query
+from gridwarden.session import fresh_path
+from gridwarden.sources import read_snapshot
 
 DIM = 64
 RUN_TS = "2024-02-01T00:00:00"
@@ -147,7 +150,7 @@ _SEMANTIC = f"""svec AS (SELECT software, {S.vector('software', DIM)} AS v
         PARTITION BY software ORDER BY round(list_cosine_distance(svec.v, rvec.v), 9), cve_id)
         AS pos FROM svec, rvec),
     semantic AS (SELECT i.id, i.host, i.name, i.software, r.cve_id, r.cvss_score,
-        substr(r.description, 1, 500) AS description, r.distance, CAST(r.pos AS INTEGER) AS pos,
+        substr(r.description, 1, 500) AS description, r.distance, r.pos,
         'semantic' AS match_type FROM installed i JOIN ranked r USING (software)
         WHERE pos <= {K.NEIGHBOURS} AND distance <= {K.MAX_COSINE_DISTANCE})"""
 
@@ -181,27 +184,34 @@ def fuzzy_scores_by_block(spark, sf):
 _FUZZY = ",\n".join([_BASE, _SCORES, _FIRST.format(threshold=K.FUZZY_THRESHOLD)])
 
 
-@query(_FUZZY + " SELECT * REPLACE (round(score, 6) AS score) FROM fuzzy")
+_ONE_PER_KEY = "QUALIFY row_number() OVER (PARTITION BY host, name, cve_id ORDER BY id, pos) = 1"
+
+
+@query(_FUZZY + f""" SELECT host, name, cve_id, id, pos, software, round(score, 6) AS score
+    FROM fuzzy {_ONE_PER_KEY}""")
 def fuzzy_matches(spark, sf):
     rows = correlate.fuzzy_match(A.software(spark, sf), _cves(spark, sf))
     return rows.withColumn("score", F.round("score", 6))
 
 
-@query(_BASE + f""" SELECT i.id, i.host, i.name, i.software, c.cve_id, c.cvss_score,
-    substr(c.description, 1, 500) AS description, 100.0::DOUBLE AS score, c.pos,
-    'fuzzy' AS match_type FROM installed i JOIN cve_items c
-    ON contains(lower(i.software), lower(c.keyword))""")
+@query(_BASE + f""" SELECT i.host, i.name, c.cve_id, i.id, c.pos, i.software,
+    CAST(100 AS DOUBLE) AS score FROM installed i JOIN cve_items c
+    ON contains(lower(i.software), lower(c.keyword)) {_ONE_PER_KEY}""")
 def contained_keywords(spark, sf):
     """A full score means that the keyword occurs in the software text."""
     return correlate.fuzzy_match(A.software(spark, sf), _cves(spark, sf), threshold=100)
 
 
 def _reference(spark, sf):
-    return correlate.build_cve_reference(_cves(spark, sf), ENCODER)
+    """The stored reference table, as the matching jobs read it."""
+    root = fresh_path(spark, "store")
+    rows = correlate.build_cve_reference(_cves(spark, sf), ENCODER)
+    sinks.replace(rows, root, "cve_descriptions")
+    return read_snapshot(spark, root, "cve_descriptions")
 
 
-@query(_BASE + ",\n" + _SEMANTIC + """ SELECT * REPLACE (round(distance, 6) + 0.0 AS distance)
-    FROM semantic""")
+@query(_BASE + ",\n" + _SEMANTIC + f""" SELECT host, name, cve_id, id, pos, software,
+    round(distance, 6) + 0.0 AS distance FROM semantic {_ONE_PER_KEY}""")
 def semantic_matches(spark, sf):
     return _rounded(correlate.semantic_match(
         A.software(spark, sf), _reference(spark, sf), ENCODER))
@@ -243,5 +253,8 @@ TECHNIQUE_MATCHES_SQL = S.cte("alerts", "technique_items").rstrip() + f""",
 
 @query(TECHNIQUE_MATCHES_SQL)
 def technique_matches(spark, sf):
-    reference = correlate.build_technique_reference(A.technique_items(spark, sf), ENCODER)
+    root = fresh_path(spark, "store")
+    rows = correlate.build_technique_reference(A.technique_items(spark, sf), ENCODER)
+    sinks.replace(rows, root, "mitre_attack")
+    reference = read_snapshot(spark, root, "mitre_attack")
     return correlate.match_techniques(A.alerts(spark, sf), reference, ENCODER, RUN_TS)
