@@ -171,7 +171,8 @@ def _entries(batches, width):
                 run, chunk, found = (src, run_no), chunk_no, False
             if not found and (after is None or cand > after):
                 after, found = last + width, True
-        yield pd.DataFrame(out, columns=columns)
+        if out:
+            yield pd.DataFrame(out, columns=columns)
     if chunk is not None:
         yield pd.DataFrame([(*run, chunk + 1, after)], columns=columns)
 

@@ -196,6 +196,7 @@ def _nearest_by_cell(queries, refs, k, schema, cells, left_rows, right_rows):
             bound = reach[rows, order[rows, enough]] if n.sum() >= k else np.full(len(ids), 9.0)
             nearest_possible = np.maximum(d - high, low - d)
             row, cell = np.nonzero(nearest_possible <= bound[:, None] + slack)
+            # never empty: the cells that give the bound lie within it
             yield pd.DataFrame({
                 "id": ids[row], "vec": list(units[row]),
                 "cell": cell_ids[cell].astype(np.int32)})
