@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridwarden import schemas
 from gridwarden.functions.times import event_time
+from gridwarden.session import materialize
 from gridwarden.sources.tables import COMMIT_SCHEMA, COMMITS
 
 
@@ -24,8 +25,14 @@ def append(df, root, table):
 
 
 def unseen(df, existing, key="source_key"):
-    """One row per key that the stored table does not hold yet."""
-    return df.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
+    """One row per key that the stored table does not hold yet.
+
+    The stored keys are first reduced to those among the new rows. When the new rows are
+    few, as in a micro-batch, that is a broadcast join and the stored table is not shuffled.
+    """
+    new = materialize(df.dropDuplicates([key]), "new-rows")
+    held = existing.select(key).join(new.select(key), key, "left_semi")
+    return new.join(held, key, "left_anti")
 
 
 def append_new(df, root, table, key="source_key"):

@@ -17,6 +17,7 @@ from gridwarden.sources.logs import read_logs, split_rejects
 from gridwarden.sources.tables import COMMIT_SCHEMA, COMMITS, current_version, read_snapshot
 
 POLL = "3 seconds"
+KEPT_VERSIONS = 64
 
 
 def _start(stream, each_batch, checkpoint, trigger):
@@ -77,20 +78,24 @@ def _advance_totals(partial, root, batch_id):
     """Totals after this batch = totals after the one before + this batch's counts.
 
     Each batch writes its own version, so a replay starts from the same predecessor and a
-    restart finds the totals where they were.
+    restart finds the totals where they were. Versions and commits are written round a
+    ring, which bounds their number; the newest commit is never the one being replaced.
     """
     spark = partial.sparkSession
     folder = f"{root}/connection_stats"
+
+    def version(batch):
+        return f"batch-{batch % KEPT_VERSIONS}"
+
     parts = [to_table(partial, "connection_stats")]
     if batch_id > 0:
         parts.append(spark.read.schema(schemas.CONNECTION_STATS).parquet(
-            f"{folder}/batch-{batch_id - 1}"))
-    version = f"batch-{batch_id}"
+            f"{folder}/{version(batch_id - 1)}"))
     to_table(ingest.add_stats(*parts), "connection_stats").coalesce(1).write.mode(
-        "overwrite").parquet(f"{folder}/{version}")
-    # Ordered by batch number: a replayed commit repeats the same row.
-    spark.createDataFrame([(version, float(batch_id))], COMMIT_SCHEMA).coalesce(1).write.mode(
-        "append").parquet(f"{folder}/{COMMITS}")
+        "overwrite").parquet(f"{folder}/{version(batch_id)}")
+    commit = spark.createDataFrame([(version(batch_id), float(batch_id))], COMMIT_SCHEMA)
+    commit.coalesce(1).write.mode("overwrite").parquet(
+        f"{folder}/{COMMITS}/slot={batch_id % 2}")
 
 
 def stream_increments(conn, path, checkpoint, watermark="10 minutes", trigger=None):

@@ -75,6 +75,17 @@ def test_pages(spark):
     last = everything.collect()[9]
     assert [r["id"] for r in analytics.page_after(
         alerts, last["ts"], last["id"], 10).collect()] == want[10:20]
+    for shallow in (0, 3, 12):  # the ranges of deep pages, level by level
+        for number in (0, 1, 2, 9):
+            assert [r["id"] for r in analytics.page(alerts, number, 10, shallow=shallow).collect()
+                    ] == want[min(number, 2) * 10:][:10]
+    spread = table(spark, "alerts", *[
+        _alert(i, None if i % 9 == 0 else i * 0.004 + (i % 4) * 86400) for i in range(60)])
+    want = [r["id"] for r in state.newest_first(spread).collect()]
+    for number in range(9):
+        assert [r["id"] for r in analytics.page(spread, number, 7, shallow=0).collect()
+                ] == want[number * 7:][:7]
+    assert analytics.page(table(spark, "alerts"), 3, 10, shallow=0).count() == 0
     assert analytics.page_count(0, 10) == 1 and analytics.page_count(21, 10) == 3
 
 
