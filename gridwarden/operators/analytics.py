@@ -5,7 +5,7 @@ import math
 from pyspark.sql import functions as F, Window as W
 
 from gridwarden.functions.alerts import extract_protocol, text_matches
-from gridwarden.functions.times import event_time
+from gridwarden.functions.times import epoch_micros
 
 
 def kpis(alerts, cve_matches, technique_matches):
@@ -67,21 +67,20 @@ def tactic_counts(matches):
 
 def alert_trend(alerts):
     """Alerts per minute from the first to the last, with 0 for empty minutes."""
-    minutes = alerts.select(
-        F.date_trunc("minute", event_time(F.col("ts"))).alias("minute"),
-    ).where("minute IS NOT NULL")
-    counts = minutes.groupBy("minute").agg(F.count("*").alias("n"))
+    counts = alerts.select(
+        F.floor(epoch_micros(F.col("ts")) / 60_000_000).alias("at"),
+    ).where("at IS NOT NULL").groupBy("at").agg(F.count("*").alias("n"))
     # The span comes from the grouped counts, not from a second look at the alerts.
     # Days first, then minutes, so that no single row holds a long sequence.
-    span = counts.agg(F.min("minute").alias("lo"), F.max("minute").alias("hi")).where(
-        "lo IS NOT NULL")
-    days = span.select("lo", "hi", F.explode(F.expr(
-        "sequence(date_trunc('day', lo), date_trunc('day', hi), interval 1 day)")).alias("day"))
-    every = days.select("lo", "hi", F.explode(F.expr(
-        "sequence(day, day + interval 1439 minutes, interval 1 minute)")).alias("minute"),
-    ).where("minute BETWEEN lo AND hi").select("minute")
-    return every.join(counts, "minute", "left").select(
-        "minute", F.coalesce("n", F.lit(0)).alias("count"))
+    span = counts.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo IS NOT NULL")
+    days = span.select("lo", "hi", F.explode(F.sequence(
+        F.floor(F.col("lo") / 1440), F.floor(F.col("hi") / 1440))).alias("day"))
+    every = days.select(F.explode(F.sequence(
+        F.greatest("lo", F.col("day") * 1440), F.least("hi", F.col("day") * 1440 + 1439),
+    )).alias("at"))
+    return every.join(counts, "at", "left").select(
+        F.timestamp_seconds(F.col("at") * 60).alias("minute"),
+        F.coalesce("n", F.lit(0)).alias("count"))
 
 
 def cvss_histogram(matches, bins=10):

@@ -6,6 +6,8 @@ from gridwarden.sinks import to_table
 
 
 def table(spark, sf_dir, name):
+    # The files hold times without a zone; they are taken as UTC.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

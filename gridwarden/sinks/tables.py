@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from gridwarden import schemas
-from gridwarden.functions.times import event_time
+from gridwarden.functions.times import epoch_micros
 from gridwarden.session import materialize
 from gridwarden.sources.tables import COMMIT_SCHEMA, COMMITS
 
@@ -62,7 +62,9 @@ def replace(df, root, table, committed=None):
 
 
 def with_event_date(df, ts="ts"):
-    return df.withColumn("event_date", F.to_date(event_time(F.col(ts))))
+    """Add the UTC day, whatever the session's time zone."""
+    day = F.floor(epoch_micros(F.col(ts)) / 86_400_000_000).cast("int")
+    return df.withColumn("event_date", F.date_from_unix_date(day))
 
 
 def write_by_date(df, table_name, ts="ts", sort=("ts", "id")):
