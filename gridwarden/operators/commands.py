@@ -10,6 +10,7 @@ from gridwarden.functions import constants as K
 from gridwarden.functions.addresses import is_ip
 from gridwarden.functions.alerts import content_id
 from gridwarden.functions.times import epoch_micros
+from gridwarden.session import materialize
 
 
 def _split(checked):
@@ -153,7 +154,8 @@ def apply_ip_policies(requests, admin, decide=None):
         F.when(~valid, K.INVALID_POLICY)
         .when(guarded, F.format_string(K.CRITICAL_HOST, F.col("ip")))
     ))
-    accepted, rejected = _split(checked)
+    # Both results come from one look-up of the edits.
+    accepted, rejected = _split(materialize(checked, "policy-requests"))
     decided = decide(accepted) if decide else _decide(accepted, policy_decision())
     return decided.select(
         content_id(F.col("ip"), F.col("policy"), epoch_micros(F.col("ts"))).alias("id"),

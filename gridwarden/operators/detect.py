@@ -52,18 +52,20 @@ def detect_scans(conn, threshold=K.SCAN_PORTS, seconds=K.SCAN_SECONDS, refire=Fa
     in_window = busy.drop("run", "last_bucket").join(spans, ["src", "bucket"]).where(
         F.col("us").between(F.col("start"), F.col("start") + width))
 
-    # The first event of each port; at most one row per port and window goes on.
-    firsts = in_window.groupBy("src", "start", *port_key).agg(
-        F.min(F.struct("us", "dst")).alias("f"))
-    order = W.partitionBy("src", "start").orderBy("f.us", *port_key)
+    # The first event of each port; at most one row per port and window goes on. Only the
+    # agents' alert names the other host, so only there is it carried along.
+    first = F.min("us").alias("us") if refire else F.min(F.struct("us", "dst")).alias("first")
+    firsts = in_window.groupBy("src", "start", *port_key).agg(first)
+    if not refire:
+        firsts = firsts.select("src", "start", *port_key, "first.*")
+    order = W.partitionBy("src", "start").orderBy("us", *port_key)
     ranked = firsts.withColumn("rank", F.row_number().over(order)).where(
         F.col("rank") <= threshold + 1)
     if not refire:
-        return _scan_rows(ranked.where(F.col("rank") == threshold).select(
-            "src", "start", F.col("f.us").alias("us"), F.col("f.dst").alias("dst"), "port"),
-            threshold, K.SCAN_MESSAGE_AGENT, agent=True)
+        return _scan_rows(
+            ranked.where(F.col("rank") == threshold), threshold, K.SCAN_MESSAGE_AGENT, agent=True)
 
-    at = F.struct(F.col("f.us").alias("us"), *port_key)
+    at = F.struct("us", *port_key)
     edges = ranked.groupBy("src", "start").agg(
         F.max(F.when(F.col("rank") == threshold, at)).alias("since"),
         F.max(F.when(F.col("rank") == threshold + 1, at)).alias("until"),

@@ -7,7 +7,8 @@ from gridwarden.functions.alerts import content_id, notice_severity, row_id
 from gridwarden.functions.constants import REPORT_SECONDS
 from gridwarden.functions.times import epoch_micros, event_time
 from gridwarden.functions.zones import (
-    agent_zone, guess_service, is_ot_port, normal_service, split_zone_service, zone,
+    agent_zone, guess_service, is_ot_port, is_ot_service, normal_service, split_zone_service,
+    zone,
 )
 
 
@@ -99,17 +100,22 @@ def add_stats(*stats):
 
 
 def asset_observations(conn):
-    """Private hosts seen: every originator, and responders that answered."""
+    """Private hosts seen: every originator, and responders that answered.
+
+    The zone is kept as a truth value until the end: minima and maxima of fixed-size
+    values are hash-aggregated, those of text would sort every connection first.
+    """
     answered = ~F.col("conn_state").eqNullSafe("S0")
     hosts = F.array("orig_h", F.when(answered, F.col("resp_h")))
+    is_ot = is_ot_service(F.col("service")) | is_ot_port(F.col("resp_p"))
     seen = conn.where(F.col("ts").isNotNull()).select(
-        "ts", zone(normal_service(F.col("service")), F.col("resp_p")).alias("zone"),
-        F.explode(hosts).alias("ip"))
+        "ts", is_ot.alias("is_ot"), F.explode(hosts).alias("ip"))
     return seen.where(is_asset_ip(F.col("ip"))).groupBy("ip").agg(
-        F.max("zone").alias("zone"),  # 'OT' sorts after 'IT'
+        F.max("is_ot").alias("is_ot"),
         F.min("ts").alias("first_seen"),
         F.max("ts").alias("last_seen"),
-    )
+    ).select("ip", F.when(F.col("is_ot"), "OT").otherwise("IT").alias("zone"),
+             "first_seen", "last_seen")
 
 
 def ingest_checkins(requests):

@@ -30,9 +30,9 @@ def unseen(df, existing, key="source_key"):
     The stored keys are first reduced to those among the new rows. When the new rows are
     few, as in a micro-batch, that is a broadcast join and the stored table is not shuffled.
     """
-    new = materialize(df.dropDuplicates([key]), "new-rows")
+    new = materialize(df, "new-rows")
     held = existing.select(key).join(new.select(key), key, "left_semi")
-    return new.join(held, key, "left_anti")
+    return new.join(held, key, "left_anti").dropDuplicates([key])
 
 
 def append_new(df, root, table, key="source_key"):
