@@ -4,6 +4,7 @@ import pytest
 from oracle_check import compare, connect
 
 import __spark_entry__ as entry
+from gridwarden.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,9 +14,9 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", catalog.QUERIES)
 def test_query(spark, duck, name):
-    assert compare(entry.queries()[name](spark, SF), duck, entry.oracle_sql()[name]) is None
+    assert compare(catalog.QUERIES[name](spark, SF), duck, catalog.SQL[name]) is None
 
 
 def test_entry(spark):
@@ -24,4 +25,5 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.SQL)
+    assert set(catalog.QUERIES) <= set(entry.queries())
