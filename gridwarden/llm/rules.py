@@ -14,18 +14,27 @@ LEAST_CHARS, LEAST_WORDS, LEAST_REFERENCE = 200, 60, 2_000
 #: Jensen-Shannon distances (0 to 1) beyond which a text is unlike every language.
 MOST_CHARS, MOST_WORDS = 0.27, 0.4
 
-#: Character classes; what is in none of them is one more.
+#: Character classes; what is in none of them is one more. Most characters are of the first.
 CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{N}", r"\s", r".,;:!?'\"()-", r"#*$%&|<>")
 
 
+def _without(text, pattern):
+    return F.regexp_replace(text, f"[{pattern}]+", "")
+
+
 def _count(text, pattern):
-    return (F.char_length(text) - F.char_length(F.regexp_replace(text, f"[{pattern}]+", "")))
+    return F.char_length(text) - F.char_length(_without(text, pattern))
 
 
 def class_counts(text):
-    """Characters in each class and in none."""
-    return bind(F.array(*[_count(text, c) for c in CLASSES]), lambda found: F.concat(
-        found, F.array(F.char_length(text) - F.aggregate(found, F.lit(0), lambda a, b: a + b))))
+    """Characters in each class and in none; the later ones are counted in what the first left."""
+    def rest(left):
+        counts = F.array(F.char_length(text) - F.char_length(left),
+                         *[_count(left, c) for c in CLASSES[1:]])
+        return bind(counts, lambda found: F.concat(found, F.array(
+            F.char_length(text) - F.aggregate(found, F.lit(0), lambda a, b: a + b))))
+
+    return bind(_without(text, CLASSES[0]), rest)
 
 
 def repeated_words(words, window=WINDOW):
