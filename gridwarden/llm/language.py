@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwarden.llm.shared import whole
+from gridwarden.llm.shared import broadcast_if_short, whole
 
 ORDER = 3
 #: Texts per language that the models are fitted on, whole.
@@ -28,8 +28,8 @@ def _codes(data):
 def count_contexts(docs: DataFrame, sample=SAMPLE) -> DataFrame:
     """lang, code, n: how often each byte follows each context in the sampled texts.
 
-    docs: lang, text, order (what the sample is chosen by, least first). Each task keeps at
-    most ``sample`` texts of a language before they meet.
+    docs: lang, text, order (what the sample is chosen by, least first; equal ones count once).
+    The sample is chosen on languages and orders, in salted parts before it is chosen in all.
     """
     def counted(batches):
         for batch in batches:
@@ -41,8 +41,14 @@ def count_contexts(docs: DataFrame, sample=SAMPLE) -> DataFrame:
             if parts:
                 yield pd.concat(parts)
 
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
-    kept = docs.withColumn("rank", rank).where(F.col("rank") <= sample)
+    def first(rows, *keys):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("order"))
+        return rows.withColumn("rank", rank).where(F.col("rank") <= sample).drop("rank")
+
+    salted = docs.select("lang", "order").withColumn("salt", F.pmod(F.hash("order"), F.lit(64)))
+    picked = first(first(salted, "lang", "salt"), "lang").select("lang", "order").distinct()
+    kept = docs.join(broadcast_if_short(picked), ["lang", "order"], "left_semi") \
+        .dropDuplicates(["lang", "order"])
     return kept.select("lang", "text").mapInPandas(
         counted, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(
         F.sum("n").alias("n"))

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from gridwarden.session import shared_dir
 
+BROADCAST_ROWS = 100_000
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SPAN = "struct<start:bigint,end:bigint,value:string>"
 
@@ -17,6 +19,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def broadcast_if_short(df: DataFrame) -> DataFrame:
+    """``df`` written down, and sent to every task if it has few rows, so that what it is joined
+    with stays in place; a longer one is joined by a shuffle."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def whole(text):
     """The text, empty where it is null."""
     return F.coalesce(text.cast("string"), F.lit(""))

@@ -7,12 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwarden.llm.shared import cut, whole
+from gridwarden.llm.shared import broadcast_if_short, cut, whole
 
 #: Payload bytes aimed at per archive; a reading task holds one archive at a time.
 ARCHIVE_BYTES = 8 << 20
-#: False starts, or repeated payloads, that are sent to every task; more go by a shuffle.
-BROADCAST_ROWS = 100_000
 #: Shorter payloads are always stored.
 REVISIT_BYTES = 100
 
@@ -36,18 +34,12 @@ def records(pages: DataFrame, least=REVISIT_BYTES) -> DataFrame:
     long = F.octet_length("payload") >= least
     first = rows.where(long).groupBy("digest").agg(
         F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return rows.join(_small(first), "digest", "left").select(
+    return rows.join(broadcast_if_short(first), "digest", "left").select(
         "page_id", "url", "payload", "digest",
         F.when(long & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
         .alias("refers_to"))
 
 
-def _small(df):
-    """Written down, and sent to every task if it is short, so that payloads stay in place."""
-    df = cut(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def write_archives(pages: DataFrame, path, archive_bytes=ARCHIVE_BYTES) -> None:
     """Uncompressed WARC 1.1 files under ``path``, a record per page.
 
@@ -146,7 +138,7 @@ def read_archives(spark: SparkSession, path) -> DataFrame:
               "payload_length": "X-Payload-Length", "refers_to": "WARC-Refers-To"}
     fields = [F.nullif(F.regexp_extract("head", rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
               .alias(column) for column, name in header.items()]
-    return found.join(_small(false), ["file", "at"], "left_anti").select("file", "at", *fields, "payload")
+    return found.join(broadcast_if_short(false), ["file", "at"], "left_anti").select("file", "at", *fields, "payload")
 
 
 def archived_pages(spark, path) -> DataFrame:
