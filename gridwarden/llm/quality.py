@@ -13,7 +13,7 @@ from gridwarden.llm.shared import whole
 SLOTS = 1 << 14
 FACTORS = 8
 #: Labelled documents that the machine is fitted on, whole texts.
-SAMPLE = 8_000
+SAMPLE = 5_000
 THRESHOLD = 0.3
 
 _SPACES = re.compile(r"[\x20\x09-\x0D]+")
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample=SAMPLE):
 
     rows = docs.select("doc_id", whole(F.col("text")).alias("text"), _length().alias("n_chars")) \
         .join(ids, "doc_id").mapInPandas(
-        extract, "doc_id bigint, quality int, slots array<int>, values array<double>").toPandas()
+        extract, "doc_id bigint, quality int, slots array<int>, values array<float>").toPandas()
     rows["key"] = rows["values"].map(sum)
     rows = rows.sort_values(["doc_id", "key"])
     machine = FactorisationMachine()
