@@ -106,7 +106,6 @@ MAX_COSINE_DISTANCE = 1.1
 NEIGHBOURS = 3
 REFERENCE_TEXT_CHARS = 1000
 MATCH_TEXT_CHARS = 500
-TECHNIQUE_TEXT_CHARS = 800
 MATCH_ID_CHARS = 60
 FEED_MESSAGE_CHARS = 110
 AGENT_TIMEOUT_SECONDS = 90

@@ -161,10 +161,17 @@ def _range_of_page(alerts, level, skip, size):
 
 
 def page_after(alerts, ts, row_id, size):
-    """The page that follows the row (``ts``, ``row_id``); its cost does not grow with depth."""
-    later = (F.col("ts") < F.lit(ts)) | (
-        (F.col("ts") == F.lit(ts)) & (F.col("id") > F.lit(row_id)))
-    return alerts.where(later).orderBy(F.desc("ts"), "id").limit(size)
+    """The page that follows the row (``ts``, ``row_id``); its cost does not grow with depth.
+
+    Rows without a time come last, by id; ``ts`` is None for a row of theirs.
+    """
+    after = F.col("id") > F.lit(row_id)
+    if ts is None:
+        later = F.col("ts").isNull() & after
+    else:
+        later = (F.col("ts") < F.lit(ts)) | F.col("ts").isNull() | (
+            (F.col("ts") == F.lit(ts)) & after)
+    return alerts.where(later).orderBy(F.desc_nulls_last("ts"), "id").limit(size)
 
 
 def by_score(matches, score, tie="source_key"):

@@ -398,7 +398,7 @@ def stix_bundles(spark, sf):
 
 
 @query(f"""SELECT 'T' || doc_id AS technique_id, source AS name, CASE WHEN doc_id % 5 = 0 THEN ''
-    ELSE lang || ', ' || source END AS tactic, substr(text, 1, {K.TECHNIQUE_TEXT_CHARS})
+    ELSE lang || ', ' || source END AS tactic, text
     AS description FROM documents WHERE doc_id % 11 <> 0 AND doc_id % 13 <> 0
     AND doc_id % 17 <> 0 AND doc_id % 7 <> 0""")
 def stix_rows(spark, sf):

@@ -1,6 +1,6 @@
 """Queries over current state, joins and analytics."""
 
-from pyspark.sql import functions as F, Window
+from pyspark.sql import functions as F
 
 from gridwarden.operators import analytics, ingest, state
 from gridwarden.plans import adapters as A, sql as S
@@ -231,13 +231,8 @@ def alert_page_after(spark, sf):
     return analytics.page_after(A.alerts(spark, sf), 1705000000.0, "~", 25)
 
 
-@query(S.cte("scored_matches") + """SELECT source_key, cvss_score, row_number() OVER (
-    ORDER BY cvss_score DESC NULLS LAST, source_key) AS place
-    FROM (SELECT DISTINCT source_key, cvss_score FROM scored_matches)
-    ORDER BY place LIMIT 500""")
+@query(S.cte("scored_matches") + "SELECT DISTINCT source_key, cvss_score FROM scored_matches")
 def best_matches(spark, sf):
-    """The head of the matches table, sorted by score."""
+    """The whole matches table, sorted by score."""
     rows = A.scored_matches(spark, sf).select("source_key", "cvss_score").distinct()
-    head = analytics.by_score(rows, "cvss_score").limit(500)
-    by_place = F.row_number().over(Window.orderBy(F.desc_nulls_last("cvss_score"), "source_key"))
-    return head.withColumn("place", by_place.cast("bigint"))
+    return analytics.by_score(rows, "cvss_score")
