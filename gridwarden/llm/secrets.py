@@ -135,8 +135,9 @@ def redact(docs: DataFrame, ledger, rules=tuple(RULES), mark=MARK) -> DataFrame:
         s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.char_length(text))))
     met = docs.join(found, blob_id(text) == F.col("_blob"), "left")
     new = F.when(F.col("_spans").isNotNull(), clean).otherwise(text)
-    out = {c: F.col(c) for c in docs.columns} | {"text": new}
-    if "n_chars" in out:
-        out["n_chars"] = F.when(F.col("_spans").isNotNull(), F.char_length(new).cast("bigint")) \
-            .otherwise(F.col("n_chars"))
-    return met.select(*[c.alias(name) for name, c in out.items()])
+    met = met.withColumn("text", new)
+    if "n_chars" in docs.columns:
+        met = met.withColumn("n_chars", F.when(
+            F.col("_spans").isNotNull(), F.char_length("text").cast("bigint")).otherwise(
+            F.col("n_chars")))
+    return met.select(*docs.columns)
