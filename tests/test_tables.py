@@ -85,7 +85,7 @@ def test_stix_objects(spark, tmp_path):
         obj(5, type="malware"), obj(6, revoked=False)]}
     (tmp_path / "stix.json").write_text(json.dumps(bundle, indent=1))
     assert rows(flatten_stix(load_stix(spark, str(tmp_path)))) == [
-        ("T1", "n1", "a, b", "d" * 800), ("T6", "n6", "", "d" * 800)]
+        ("T1", "n1", "a, b", "d" * 900), ("T6", "n6", "", "d" * 900)]
 
 
 def test_reference_cache(spark, tmp_path):
