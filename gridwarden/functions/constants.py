@@ -104,9 +104,5 @@ ALERT_NOT_FOUND = "(alert not found)"
 FUZZY_THRESHOLD = 70
 MAX_COSINE_DISTANCE = 1.1
 NEIGHBOURS = 3
-REFERENCE_TEXT_CHARS = 1000
-MATCH_TEXT_CHARS = 500
-MATCH_ID_CHARS = 60
-FEED_MESSAGE_CHARS = 110
 AGENT_TIMEOUT_SECONDS = 90
 REPORT_SECONDS = 30

@@ -163,7 +163,8 @@ def _range_of_page(alerts, level, skip, size):
 def page_after(alerts, ts, row_id, size):
     """The page that follows the row (``ts``, ``row_id``); its cost does not grow with depth.
 
-    Rows without a time come last, by id; ``ts`` is None for a row of theirs.
+    Rows without a time come last, by id; ``ts`` is None for a row of theirs. Without a
+    ``size`` all rows that follow are given.
     """
     after = F.col("id") > F.lit(row_id)
     if ts is None:
@@ -171,7 +172,8 @@ def page_after(alerts, ts, row_id, size):
     else:
         later = (F.col("ts") < F.lit(ts)) | F.col("ts").isNull() | (
             (F.col("ts") == F.lit(ts)) & after)
-    return alerts.where(later).orderBy(F.desc_nulls_last("ts"), "id").limit(size)
+    rows = alerts.where(later).orderBy(F.desc_nulls_last("ts"), "id")
+    return rows if size is None else rows.limit(size)
 
 
 def by_score(matches, score, tie="source_key"):

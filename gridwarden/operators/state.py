@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gridwarden.functions.alerts import age_label, agent_status, status_label
-from gridwarden.functions.constants import ALERT_NOT_FOUND, FEED_MESSAGE_CHARS
+from gridwarden.functions.constants import ALERT_NOT_FOUND
 
 
 def latest_by(df, key, ts, cols, ties=()):
@@ -88,8 +88,11 @@ def dashboard_alerts(alerts, actions):
     return rows.withColumn("status", status_label(F.col("action")))
 
 
-def recent_actions(actions, alerts, now, n=10):
-    """The last ``n`` decisions with the alert's message and the decision's age."""
+def recent_actions(actions, alerts, now, n=10, message_chars=None):
+    """The last ``n`` decisions with the alert's message and the decision's age.
+
+    Messages are whole unless the caller asks for their first ``message_chars``.
+    """
     last = newest_first(actions, limit=n).select("id", "alert_id", "action", "actor", "notes", "ts")
     # n ids at most: the scan of alerts is filtered by a broadcast of known size.
     wanted = F.broadcast(last.select("alert_id").distinct())
@@ -98,11 +101,11 @@ def recent_actions(actions, alerts, now, n=10):
         .groupBy(F.col("id").alias("alert_id"))
         .agg(F.max_by("message", F.struct("ts", "message")).alias("message"))
     )
+    message = F.coalesce("message", F.lit(ALERT_NOT_FOUND))
+    if message_chars is not None:
+        message = F.substring(message, 1, message_chars)
     return newest_first(last.join(found, "alert_id", "left").select(
-        "id", "alert_id", "action", "actor", "notes", "ts",
-        F.substring(
-            F.coalesce("message", F.lit(ALERT_NOT_FOUND)), 1, FEED_MESSAGE_CHARS,
-        ).alias("message"),
+        "id", "alert_id", "action", "actor", "notes", "ts", message.alias("message"),
         age_label(F.col("ts"), now).alias("age"),
     ))
 

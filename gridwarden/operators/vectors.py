@@ -18,18 +18,22 @@ ROWS_AT_ONCE = 512
 # -- embedding ----------------------------------------------------------------------
 
 def hashing_encoder(dim=64):
-    """Feature hashing: each word counts in the slot its MD5 digest picks.
+    """Feature hashing: each word (letters and digits of any script) counts in the slot its
+    MD5 digest picks.
 
     Needs no model and no Python. Returns a Column -> Column function.
     """
     def encode(text):
-        words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+        words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
         slots = F.transform(words, lambda w: F.pmod(
             F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int"), F.lit(dim)))
-        # Bound to a lambda variable, so that the slots are worked out once per text.
-        return F.get(F.transform(F.array(slots), lambda found: F.transform(
+        # Sorted together with one mark per slot, the words of a slot lie between its mark
+        # and the next one. Bound to a lambda variable, so that it is done once per text.
+        marked = F.sort_array(F.concat(slots, F.sequence(F.lit(0), F.lit(dim))))
+        return F.get(F.transform(F.array(marked), lambda found: F.transform(
             F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda i: F.size(F.filter(found, lambda s: s == i)).cast("float"))), F.lit(0))
+            lambda i: (F.array_position(found, i + 1) - F.array_position(found, i) - 1)
+            .cast("float"))), F.lit(0))
     return encode
 
 

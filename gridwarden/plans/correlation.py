@@ -82,9 +82,9 @@ def _wide(df):
     return df.withColumn("embedding", F.col("embedding").cast("array<double>"))
 
 
-@query(f"""SELECT cve_id, substr(r.description, 1, 1000) AS description, r.keyword AS keyword,
+@query(f"""SELECT cve_id, r.description AS description, r.keyword AS keyword,
     CAST(coalesce(r.cvss_score, 0) AS FLOAT) AS cvss_score,
-    {S.vector('substr(r.description, 1, 1000)', DIM)} AS embedding
+    {S.vector('r.description', DIM)} AS embedding
     FROM (SELECT cve_id, max(struct_pack(pos := pos, description := description,
         keyword := keyword, cvss_score := cvss_score)) AS r FROM ({_CVE_LISTED})
         WHERE description <> '' GROUP BY cve_id)""")
@@ -92,8 +92,8 @@ def cve_reference(spark, sf):
     return _wide(correlate.build_cve_reference(_cve_listed(spark, sf), ENCODER))
 
 
-_TECHNIQUES = f"""SELECT technique_id, substr(description, 1, 1000) AS description, name, tactic,
-    {S.vector('substr(description, 1, 1000)', DIM)} AS embedding FROM technique_items"""
+_TECHNIQUES = f"""SELECT technique_id, description, name, tactic,
+    {S.vector('description', DIM)} AS embedding FROM technique_items"""
 
 
 @query(S.cte("technique_items") + _TECHNIQUES)
@@ -134,7 +134,7 @@ _SCORES = """texts AS (SELECT DISTINCT lower(software) AS text FROM installed),
         FROM spans JOIN lcs USING (s, w) GROUP BY text, keyword)"""
 
 _FIRST = """firsts AS (SELECT text, cve_id, min(struct_pack(pos := pos, cvss_score := cvss_score,
-    description := substr(description, 1, 500), score := score)) AS c
+    description := description, score := score)) AS c
     FROM scores JOIN cve_items ON lower(cve_items.keyword) = scores.keyword
     WHERE score >= {threshold} GROUP BY text, cve_id),
     fuzzy AS (SELECT id, host, name, software, cve_id, c.cvss_score AS cvss_score,
@@ -150,7 +150,7 @@ _SEMANTIC = f"""svec AS (SELECT software, {S.vector('software', DIM)} AS v
         PARTITION BY software ORDER BY round(list_cosine_distance(svec.v, rvec.v), 9), cve_id)
         AS pos FROM svec, rvec),
     semantic AS (SELECT i.id, i.host, i.name, i.software, r.cve_id, r.cvss_score,
-        substr(r.description, 1, 500) AS description, r.distance, r.pos,
+        r.description, r.distance, r.pos,
         'semantic' AS match_type FROM installed i JOIN ranked r USING (software)
         WHERE pos <= {K.NEIGHBOURS} AND distance <= {K.MAX_COSINE_DISTANCE})"""
 
@@ -224,7 +224,7 @@ def semantic_matches(spark, sf):
         match_type FROM semantic),
     first_match AS (SELECT *, row_number() OVER (PARTITION BY host, name, cve_id
         ORDER BY id, match_rank, pos) AS place FROM both_kinds)
-    SELECT substr('cve_' || host || '|' || name || '|' || cve_id, 1, 60) AS id,
+    SELECT 'cve_' || {S.digest('host', 'name', 'cve_id')} AS id,
         host || '|' || name || '|' || cve_id AS source_key, host, software, cve_id, cvss_score,
         description, match_type, '{RUN_TS}' AS ts FROM first_match WHERE place = 1""")
 def cve_matches(spark, sf):
@@ -243,7 +243,7 @@ TECHNIQUE_MATCHES_SQL = S.cte("alerts", "technique_items").rstrip() + f""",
         round(list_cosine_distance(v, embedding), 9) AS d, row_number() OVER (PARTITION BY text
         ORDER BY round(list_cosine_distance(v, embedding), 9), technique_id) AS place
         FROM tvec, refs)
-    SELECT substr('mitre_' || id || '|' || technique_id, 1, 60) AS id,
+    SELECT 'mitre_' || {S.digest('id', 'technique_id')} AS id,
         id || '|' || technique_id AS source_key, note_type AS alert_note_type,
         message AS alert_message, severity AS alert_severity, technique_id,
         name AS technique_name, tactic,
@@ -258,3 +258,25 @@ def technique_matches(spark, sf):
     sinks.replace(rows, root, "mitre_attack")
     reference = read_snapshot(spark, root, "mitre_attack")
     return correlate.match_techniques(A.alerts(spark, sf), reference, ENCODER, RUN_TS)
+
+
+# The documents' texts in all their languages as alerts' messages, some without a word.
+_TEXT_ALERTS = """text_alerts AS (SELECT CAST(doc_id AS VARCHAR) AS id, '' AS note_type,
+    CASE WHEN doc_id % 10 = 0 THEN '...' ELSE coalesce(text, '') END AS message,
+    'high' AS severity FROM documents)"""
+
+
+@query(f"""WITH {_TEXT_ALERTS} SELECT id, severity, message = '...' AS wordless
+    FROM text_alerts""")
+def techniques_of_texts(spark, sf):
+    """Every severe alert gets a technique, whatever its script."""
+    alerts = A.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.lit("").alias("note_type"),
+        F.when(F.col("doc_id") % 10 == 0, "...").otherwise(F.coalesce("text", F.lit("")))
+        .alias("message"), F.lit("high").alias("severity"))
+    reference = correlate.build_technique_reference(A.technique_items(spark, sf), ENCODER)
+    found = correlate.match_techniques(alerts, reference, ENCODER, RUN_TS)
+    return found.select(
+        F.split_part("source_key", F.lit("|"), F.lit(1)).alias("id"),
+        F.col("alert_severity").alias("severity"),
+        (F.col("alert_message") == "...").alias("wordless"))

@@ -286,7 +286,7 @@ def logged_connection_stats(spark, sf):
     return ingest.connection_stats(ingest.normalize_conn(good))
 
 
-_BATCH_ALERTS = f"""SELECT {S.digest("'agent-' || user_id", S.micros('ts'), 'props')} AS id, ts,
+BATCH_ALERTS_SQL = f"""SELECT {S.digest("'agent-' || user_id", S.micros('ts'), 'props')} AS id, ts,
     'Agent::' || event_type AS note_type, props AS message, '' AS src_h,
     '10.0.0.' || i AS dst_h, CASE WHEN i = 1 THEN 'high' ELSE 'medium' END AS severity,
     CASE WHEN event_id % 2 = 0 THEN 'OT' ELSE 'IT' END AS zone,
@@ -303,7 +303,7 @@ def _batches(spark, sf):
     return good
 
 
-@query(_BATCH_ALERTS)
+@query(BATCH_ALERTS_SQL)
 def agent_batch_alerts(spark, sf):
     return ingest.ingest_agent_batches(_batches(spark, sf))[0]
 
@@ -405,8 +405,8 @@ def stix_rows(spark, sf):
     return flatten_stix(stix_bundles(spark, sf))
 
 
-@query(S.cte("cve_items") + """SELECT CAST(row_number() OVER (PARTITION BY
-    split_part(description, ' as used by ', 2) ORDER BY pos) - 1 AS INTEGER) AS pos, cve_id,
+@query(S.cte("cve_items") + """SELECT row_number() OVER (ORDER BY
+    split_part(description, ' as used by ', 2), pos) - 1 AS pos, cve_id,
     keyword, description, cvss_score FROM cve_items""")
 def cached_reference(spark, sf):
     """A JSON array per product type, written as one document each and read back."""

@@ -253,7 +253,7 @@ VIEWS = {
 
 def vector(text, dim):
     """Feature hashing of a text, as in ``hashing_encoder``."""
-    slots = (f"list_transform(list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9]+'), "
+    slots = (f"list_transform(list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), "
              f"lambda w: w <> ''), lambda w: CAST(('0x' || substr(md5(w), 1, 6)) AS INTEGER) "
              f"% {dim})")
     return (f"list_transform(range(0, {dim}), lambda i: CAST(len(list_filter({slots}, "

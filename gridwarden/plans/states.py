@@ -107,7 +107,7 @@ def dashboard_alerts(spark, sf):
 
 
 @query(S.cte("alerts", "alert_actions") + f"""SELECT a.id, a.alert_id, a.action, a.actor,
-    a.notes, a.ts, substr(coalesce(al.message, '(alert not found)'), 1, 110) AS message,
+    a.notes, a.ts, coalesce(al.message, '(alert not found)') AS message,
     CAST(floor(({NOW} - a.ts) / 86400) AS BIGINT) || 'd ago' AS age
     FROM (SELECT * FROM alert_actions ORDER BY ts DESC, id LIMIT 10) a
     LEFT JOIN alerts al ON al.id = a.alert_id""")
@@ -236,3 +236,25 @@ def best_matches(spark, sf):
     """The whole matches table, sorted by score."""
     rows = A.scored_matches(spark, sf).select("source_key", "cvss_score").distinct()
     return analytics.by_score(rows, "cvss_score")
+
+
+@query(S.cte("scored_matches") + """SELECT DISTINCT source_key, CAST(1 - cvss_score / 10 AS DOUBLE)
+    AS similarity FROM scored_matches""")
+def closest_matches(spark, sf):
+    """The whole technique matches table, sorted by similarity."""
+    rows = A.scored_matches(spark, sf).select(
+        "source_key", (1 - F.col("cvss_score") / 10).alias("similarity")).distinct()
+    return analytics.by_score(rows, "similarity")
+
+
+_EVERY_THIRD = """timed AS (SELECT * REPLACE (CASE WHEN CAST(id AS BIGINT) % 3 > 0 THEN ts END AS ts)
+    FROM alerts)"""
+
+
+@query(S.cte("alerts").rstrip() + f""",\n{_EVERY_THIRD} SELECT * FROM timed
+    WHERE ts < 1705000000.0 OR ts IS NULL""")
+def alerts_after(spark, sf):
+    """All that follows a row when a third of the alerts has no time: the timeless last."""
+    rows = A.alerts(spark, sf).withColumn(
+        "ts", F.when(F.col("id").cast("long") % 3 > 0, F.col("ts")))
+    return analytics.page_after(rows, 1705000000.0, "~", None)

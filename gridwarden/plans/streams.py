@@ -9,11 +9,11 @@ from gridwarden.plans import adapters as A, sql as S
 from gridwarden.plans.correlation import ENCODER, RUN_TS, TECHNIQUE_MATCHES_SQL
 from gridwarden.plans.detections import AGENT_SCANS_SQL, SENSOR_SCANS_SQL
 from gridwarden.plans.expressions import (
-    NOTICE_ALERTS_SQL, SOFTWARE_ROWS_SQL, write_conn_log, write_notices, write_software_log,
+    BATCH_ALERTS_SQL, NOTICE_ALERTS_SQL, SOFTWARE_ROWS_SQL, write_conn_log, write_notices, write_software_log,
 )
 from gridwarden.plans.registry import query
 from gridwarden.session import fresh_path
-from gridwarden.sources import read_snapshot, read_table
+from gridwarden.sources import read_table
 
 ONCE = {"availableNow": True}
 
@@ -50,7 +50,41 @@ def _connections(spark, sf):
 @query(S.cte("conn_stats") + "SELECT * FROM conn_stats")
 def streamed_connection_stats(spark, sf):
     """Running totals over two micro-batches."""
-    return read_snapshot(spark, _connections(spark, sf), "connection_stats")
+    return streaming.read_totals(spark, _connections(spark, sf))
+
+
+@query(S.cte("conn_stats") + """SELECT zone, service, CAST(2 * count AS BIGINT) AS count
+    FROM conn_stats""")
+def resumed_connection_stats(spark, sf):
+    """A second stream with its own checkpoint goes on with the stored totals."""
+    logs, root, checkpoint = _paths(spark, "conn-stream")
+    write_conn_log(spark, sf, logs, files=4)
+    for run in ("first", "second"):
+        streaming.stream_connections(
+            spark, logs, root, f"{checkpoint}-{run}", ONCE).awaitTermination()
+    return streaming.read_totals(spark, root)
+
+
+@query(f"SELECT * FROM ({NOTICE_ALERTS_SQL}) UNION ALL SELECT * FROM ({BATCH_ALERTS_SQL})")
+def streamed_alerts_of_producers(spark, sf):
+    """Sensor notices and agent reports, two streams into one alerts table."""
+    logs, root, checkpoint = _paths(spark, "producers")
+    write_notices(spark, sf, f"{logs}/notice")
+    A.agent_batches(spark, sf).write.json(f"{logs}/agents")
+    streaming.stream_alerts(
+        spark, f"{logs}/notice", root, f"{checkpoint}-notice", ONCE).awaitTermination()
+    streaming.stream_agent_batches(
+        spark, f"{logs}/agents", root, f"{checkpoint}-agents", ONCE).awaitTermination()
+    return read_table(spark, root, "alerts")
+
+
+@query(S.cte("checkins") + """SELECT agent_id, hostname, ip, os, agent_group, version,
+    ts AS last_checkin FROM checkins""")
+def streamed_checkins(spark, sf):
+    logs, root, checkpoint = _paths(spark, "checkin-stream")
+    A.checkins(spark, sf).write.json(logs)
+    streaming.stream_checkins(spark, logs, root, checkpoint, ONCE).awaitTermination()
+    return read_table(spark, root, "agents")
 
 
 @query(S.cte("observations") + "SELECT * FROM observations")

@@ -4,12 +4,12 @@ import datetime
 import time
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from gridwarden import schemas
 from gridwarden.functions.times import epoch_micros
-from gridwarden.session import materialize
-from gridwarden.sources.tables import COMMIT_SCHEMA, COMMITS
+from gridwarden.sources.tables import COMMIT_SCHEMA, COMMITS, read_table
 
 
 def to_table(df, table):
@@ -21,33 +21,33 @@ def to_table(df, table):
 
 
 def append(df, root, table):
-    to_table(df, table).write.mode("append").parquet(f"{root}/{table}")
+    """Append rows. Every call writes a folder of its own."""
+    append_once(df, root, table, 0, f"append-{uuid.uuid4().hex}")
 
 
-def unseen(df, existing, key="source_key"):
-    """One row per key that the stored table does not hold yet.
+def append_once(df, root, table, batch_id, producer):
+    """Append one micro-batch of a producer; a replayed batch overwrites its own folder.
 
-    The stored keys are first reduced to those among the new rows. When the new rows are
-    few, as in a micro-batch, that is a broadcast join and the stored table is not shuffled.
+    ``producer`` names the run, such as a stream's checkpoint id. All writers of a table use
+    this one layout, and none can touch the rows of another.
     """
-    new = materialize(df, "new-rows")
-    held = existing.select(key).join(new.select(key), key, "left_semi")
-    return new.join(held, key, "left_anti").dropDuplicates([key])
+    path = f"{root}/{table}/part={producer}.{batch_id}"
+    to_table(df, table).write.mode("overwrite").parquet(path)
 
 
-def append_new(df, root, table, key="source_key"):
-    """Append rows with unseen keys. The first write creates the table."""
-    spark = df.sparkSession
-    path = f"{root}/{table}"
-    spark.createDataFrame([], schemas.TABLES[table]).write.mode("append").parquet(path)
-    existing = spark.read.schema(schemas.TABLES[table]).parquet(path)
-    unseen(to_table(df, table), existing, key).write.mode("append").parquet(path)
+def unseen(df, existing, key="source_key"):
+    """One row per key that the stored table does not hold yet."""
+    return df.dropDuplicates([key]).join(existing.select(key), key, "left_anti")
 
 
-def append_once(df, root, table, batch_id):
-    """Append one micro-batch; a replayed batch overwrites its own folder."""
-    path = f"{root}/{table}/batch_id={batch_id}"
-    to_table(df, table).write.mode("overwrite").parquet(path)
+def append_new(df, root, table, key="source_key"):
+    """Append rows with unseen keys. The first write creates the table."""
+    rows = to_table(df, table).dropDuplicates([key])
+    try:
+        rows = unseen(rows, read_table(df.sparkSession, root, table, [key]), key)
+    except AnalysisException:  # nothing stored yet
+        pass
+    append(rows, root, table)
 
 
 def replace(df, root, table, committed=None):
@@ -75,8 +75,14 @@ def write_by_date(df, table_name, ts="ts", sort=("ts", "id")):
 
 
 def retain(df, days, as_of, ts="ts"):
-    """Rows of the last ``days`` days before the epoch second ``as_of``."""
-    return df.where(F.col(ts) >= F.lit(float(as_of) - days * 86400.0))
+    """Rows of the last ``days`` days before the epoch second ``as_of``; older partitions of
+    a table by ``event_date`` are not read."""
+    first = float(as_of) - days * 86400.0
+    rows = df.where(F.col(ts) >= F.lit(first))
+    if "event_date" in df.columns:
+        day = datetime.date(1970, 1, 1) + datetime.timedelta(days=first // 86400)
+        rows = rows.where(F.col("event_date") >= F.lit(day))
+    return rows
 
 
 def drop_expired(spark, table_name, days, as_of):

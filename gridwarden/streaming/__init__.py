@@ -1,12 +1,13 @@
 """Structured Streaming jobs built from the batch operators."""
 
 from gridwarden.streaming.jobs import (
-    software_matcher, stream_alerts, stream_connections, stream_increments, stream_matches,
-    stream_software, technique_matcher,
+    read_totals, software_matcher, stream_agent_batches, stream_alerts, stream_checkins,
+    stream_connections, stream_increments, stream_matches, stream_software, technique_matcher,
 )
 from gridwarden.streaming.scans import detect_scans_stream
 
 __all__ = [
-    "detect_scans_stream", "stream_alerts", "stream_connections", "stream_increments",
-    "software_matcher", "stream_matches", "stream_software", "technique_matcher",
+    "detect_scans_stream", "read_totals", "software_matcher", "stream_agent_batches",
+    "stream_alerts", "stream_checkins", "stream_connections", "stream_increments",
+    "stream_matches", "stream_software", "technique_matcher",
 ]

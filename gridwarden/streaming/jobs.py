@@ -1,8 +1,8 @@
 """Continuous ingest and matching.
 
 Every job writes from ``foreachBatch``, which may run a batch twice after a failure. Writes
-are therefore either named after the batch (a replay overwrites its own rows) or limited to
-unseen keys. The offsets live in the query's checkpoint, so a restart goes on where it left.
+are therefore either named after the stream and the batch (a replay overwrites its own rows)
+or limited to unseen keys. The offsets live in the query's checkpoint, so a restart goes on where it left.
 """
 
 import time
@@ -10,14 +10,14 @@ import time
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from gridwarden import schemas
 from gridwarden.operators import correlate, ingest
 from gridwarden.sinks import append_new, append_once, to_table
 from gridwarden.sources.logs import read_logs, split_rejects
-from gridwarden.sources.tables import COMMIT_SCHEMA, COMMITS, current_version, read_snapshot
+from gridwarden.sources.tables import (
+    COMMIT_SCHEMA, COMMITS, current_version, read_snapshot, read_table,
+)
 
 POLL = "3 seconds"
-KEPT_VERSIONS = 64
 
 
 def _start(stream, each_batch, checkpoint, trigger):
@@ -29,73 +29,90 @@ def _logs(spark, path, kind, files_per_trigger):
     return read_logs(spark, path, kind, streaming=True, files_per_trigger=files_per_trigger)
 
 
-def _keep_rejects(rejects, root, kind, batch_id):
+def _producer(spark, checkpoint):
+    """The id that the stream keeps in its checkpoint: a restart goes on under it, a stream
+    with a new checkpoint is another producer."""
+    return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+
+
+def _keep_rejects(rejects, root, kind, batch_id, producer):
     rejects.select("_corrupt_record", F.to_json(F.struct(
         *[F.col(f"`{c}`") for c in rejects.columns if c != "_corrupt_record"])).alias("parsed"),
-    ).write.mode("overwrite").parquet(f"{root}/rejects/{kind}/batch_id={batch_id}")
+    ).write.mode("overwrite").parquet(f"{root}/rejects/{kind}/part={producer}.{batch_id}")
 
 
-def _row_job(spark, path, kind, table, valid, normalize, root, checkpoint, trigger, files):
+def _log_job(spark, path, kind, valid, tables, root, checkpoint, trigger, files=None):
+    """Append what ``tables(good rows)`` gives, {table: rows}, once per micro-batch."""
     def each_batch(batch, batch_id):
-        batch = batch.persist()  # read once for the rows and once for the rejects
-        good, rejects = split_rejects(batch, valid)
-        append_once(normalize(good), root, table, batch_id)
-        _keep_rejects(rejects, root, kind, batch_id)
-        batch.unpersist()
+        producer = _producer(spark, checkpoint)
+        batch = batch.persist()  # read once for all tables and the rejects
+        try:
+            good, rejects = split_rejects(batch, valid)
+            for table, rows in tables(good).items():
+                append_once(rows, root, table, batch_id, producer)
+            _keep_rejects(rejects, root, kind, batch_id, producer)
+        finally:
+            batch.unpersist()
 
     return _start(_logs(spark, path, kind, files), each_batch, checkpoint, trigger)
 
 
 def stream_alerts(spark, path, root, checkpoint, trigger=None, files_per_trigger=None):
     """Notice logs to the alerts table."""
-    return _row_job(
-        spark, path, "notice", "alerts", ingest.valid_notice(), ingest.normalize_notice,
-        root, checkpoint, trigger, files_per_trigger)
+    def tables(good):
+        return {"alerts": ingest.normalize_notice(good)}
+
+    return _log_job(spark, path, "notice", ingest.valid_notice(), tables, root, checkpoint,
+                    trigger, files_per_trigger)
 
 
 def stream_software(spark, path, root, checkpoint, trigger=None, files_per_trigger=None):
     """Software logs to the software table."""
-    return _row_job(
-        spark, path, "software", "software", ingest.valid_software(),
-        ingest.normalize_software, root, checkpoint, trigger, files_per_trigger)
+    def tables(good):
+        return {"software": ingest.normalize_software(good)}
+
+    return _log_job(spark, path, "software", ingest.valid_software(), tables, root, checkpoint,
+                    trigger, files_per_trigger)
 
 
 def stream_connections(spark, path, root, checkpoint, trigger=None, files_per_trigger=None):
-    """Connection logs to running (zone, service) totals and host observations."""
-    def each_batch(batch, batch_id):
-        batch = batch.persist()
-        good, rejects = split_rejects(batch, ingest.valid_conn())
+    """Connection logs to (zone, service) counts and host observations.
+
+    Each micro-batch appends its own counts, a row per zone and service; ``read_totals``
+    sums them. Totals so go on over restarts, new checkpoints and several producers.
+    """
+    def tables(good):
         conn = ingest.normalize_conn(good)
-        _advance_totals(ingest.connection_stats(conn), root, batch_id)
-        append_once(ingest.asset_observations(conn), root, "asset_observations", batch_id)
-        _keep_rejects(rejects, root, "conn", batch_id)
-        batch.unpersist()
+        return {"connection_stats": ingest.connection_stats(conn).coalesce(1),
+                "asset_observations": ingest.asset_observations(conn)}
 
-    return _start(_logs(spark, path, "conn", files_per_trigger), each_batch, checkpoint, trigger)
+    return _log_job(spark, path, "conn", ingest.valid_conn(), tables, root, checkpoint,
+                    trigger, files_per_trigger)
 
 
-def _advance_totals(partial, root, batch_id):
-    """Totals after this batch = totals after the one before + this batch's counts.
+def read_totals(spark, root):
+    """Running totals per zone and service."""
+    return ingest.add_stats(read_table(spark, root, "connection_stats"))
 
-    Each batch writes its own version, so a replay starts from the same predecessor and a
-    restart finds the totals where they were. Versions and commits are written round a
-    ring, which bounds their number; the newest commit is never the one being replaced.
-    """
-    spark = partial.sparkSession
-    folder = f"{root}/connection_stats"
-
-    def version(batch):
-        return f"batch-{batch % KEPT_VERSIONS}"
-
-    parts = [to_table(partial, "connection_stats")]
-    if batch_id > 0:
-        parts.append(spark.read.schema(schemas.CONNECTION_STATS).parquet(
-            f"{folder}/{version(batch_id - 1)}"))
-    to_table(ingest.add_stats(*parts), "connection_stats").coalesce(1).write.mode(
-        "overwrite").parquet(f"{folder}/{version(batch_id)}")
-    commit = spark.createDataFrame([(version(batch_id), float(batch_id))], COMMIT_SCHEMA)
-    commit.coalesce(1).write.mode("overwrite").parquet(
-        f"{folder}/{COMMITS}/slot={batch_id % 2}")
+
+def stream_checkins(spark, path, root, checkpoint, trigger=None, files_per_trigger=None):
+    """Agent check-ins to the agents table and host observations."""
+    def tables(good):
+        agents, observations = ingest.ingest_checkins(good)
+        return {"agents": agents, "asset_observations": observations}
+
+    return _log_job(spark, path, "checkins", None, tables, root, checkpoint, trigger,
+                    files_per_trigger)
+
+
+def stream_agent_batches(spark, path, root, checkpoint, trigger=None, files_per_trigger=None):
+    """Agent reports to the alerts table and the agents' connection counts."""
+    def tables(good):
+        alerts, increments = ingest.ingest_agent_batches(good)
+        return {"alerts": alerts, "agent_connection_stats": increments}
+
+    return _log_job(spark, path, "agent_batches", None, tables, root, checkpoint, trigger,
+                    files_per_trigger)
 
 
 def stream_increments(conn, path, checkpoint, watermark="10 minutes", trigger=None):

@@ -5,7 +5,7 @@ from conftest import rows
 from gridwarden import schemas, sinks, streaming
 from gridwarden.functions import event_time
 from gridwarden.operators import correlate, ingest, state, vectors
-from gridwarden.sources import read_logs, read_snapshot, read_table, split_rejects
+from gridwarden.sources import read_logs, read_table, split_rejects
 from pyspark.sql import functions as F
 
 ONCE = {"availableNow": True}
@@ -39,7 +39,7 @@ def test_totals_and_hosts_survive_a_restart(spark, tmp_path):
 
     good, _ = split_rejects(read_logs(spark, str(logs), "conn"), ingest.valid_conn())
     conn = ingest.normalize_conn(good)
-    assert rows(read_snapshot(spark, root, "connection_stats")) == rows(
+    assert rows(streaming.read_totals(spark, root)) == rows(
         ingest.connection_stats(conn))
     seen = read_table(spark, root, "asset_observations")
     assert rows(state.collapse_assets(seen)) == rows(state.collapse_assets(

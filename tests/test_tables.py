@@ -5,6 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from gridwarden import schemas, session, sinks
+from gridwarden.sinks.tables import with_event_date
 from gridwarden.sources import (
     flatten_nvd, flatten_stix, load_nvd, load_reference, load_stix, read_snapshot, read_table,
 )
@@ -13,11 +14,21 @@ from gridwarden.sources import (
 def test_replayed_batch_overwrites_itself(spark, tmp_path):
     df = spark.range(5).select(F.col("id").cast("string").alias("ip"), F.lit("IT").alias("zone"))
     for batch in (0, 1, 1):
-        sinks.append_once(df, str(tmp_path), "asset_observations", batch)
+        sinks.append_once(df, str(tmp_path), "asset_observations", batch, "one")
     got = read_table(spark, str(tmp_path), "asset_observations")
     assert got.count() == 10 and got.where("first_seen IS NULL").count() == 10
 
 
+def test_writers_do_not_touch_each_other(spark, tmp_path):
+    df = spark.range(2).select(F.col("id").cast("string").alias("ip"))
+    root = str(tmp_path)
+    sinks.append(df, root, "asset_observations")
+    for producer in ("one", "two"):
+        sinks.append_once(df, root, "asset_observations", 0, producer)
+    sinks.append(df, root, "asset_observations")
+    assert read_table(spark, root, "asset_observations").count() == 8
+
+
 def test_failed_write_fails(spark, tmp_path):
     bad = spark.range(1).select(F.raise_error(F.lit("no")).cast("string").alias("ip"))
     with pytest.raises(Exception):
@@ -54,6 +65,7 @@ def test_old_days_are_dropped(spark):
     assert dropped == ["1970-01-01", "1970-01-02", "1970-01-03", "1970-01-04"]
     assert spark.table("alerts_by_day").agg(F.min("ts")).first()[0] == 4 * day + 5
     assert sinks.retain(alerts, 7, 11 * day + 5).count() == 8
+    assert sinks.retain(with_event_date(alerts), 7, 11 * day + 5).count() == 8
 
 
 def test_nvd_metrics(spark, tmp_path):
@@ -95,6 +107,9 @@ def test_reference_cache(spark, tmp_path):
          {"cve_id": "B", "keyword": "k", "description": "d", "cvss_score": 1.5}], indent=2))
     assert rows(load_reference(spark, f"{tmp_path}/cve.json", "cve")) == [
         (0, "A", "k", "d", None), (1, "B", "k", "d", 1.5)]
+    (tmp_path / "later.json").write_text(json.dumps([{"cve_id": "C"}]))
+    assert rows(load_reference(spark, f"{tmp_path}/*.json", "cve"), "pos", "cve_id") == [
+        (0, "A"), (1, "B"), (2, "C")]
 
 
 def test_shared_folder_comes_from_the_session(spark):
