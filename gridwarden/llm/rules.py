@@ -60,7 +60,8 @@ def repeated_words(words, window=WINDOW):
 
     exact = bind(words, lambda w: bind(F.sort_array(F.transform(starts, lambda i: F.struct(
         F.array_join(F.slice(w, i, window), " ").alias("window"), i.alias("at")))), covered))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, window)))
+    hashes = F.transform(starts, lambda i: F.xxhash64(
+        *[F.get(words, i - 1 + k) for k in range(window)]))
     repeats = bind(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
     return F.when(F.size(words) <= window, 0).when(repeats, exact).otherwise(0)
 
@@ -112,8 +113,9 @@ def distance(mine, reference):
 def word_counts(found, words):
     """How often each of ``words`` is in the array, and how many others there are."""
     common = F.filter(found, lambda w: w.isin(words))
-    each = bind(common, lambda c: F.transform(
-        F.array(*map(F.lit, words)), lambda w: F.size(c) - F.size(F.array_remove(c, w))))
+    each = bind(common, lambda c: bind(F.array_distinct(c), lambda once: F.transform(
+        F.array(*map(F.lit, words)), lambda w: F.when(
+            F.array_contains(once, w), F.size(c) - F.size(F.array_remove(c, w))).otherwise(0))))
     return bind(each, lambda n: F.concat(n, F.array(
         F.size(found) - F.aggregate(n, F.lit(0), lambda a, b: a + b))))
 
@@ -133,11 +135,11 @@ def judge(docs: DataFrame, references=None) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     figures = bind(space_words(text), lambda words: F.struct(
         F.size(words).cast("bigint").alias("n_words"),
+        F.char_length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
         repeated_words(words).cast("bigint").alias("n_repeat_words")))
     judged = docs.withColumn("_figures", figures).withColumns({
         "n_words": F.col("_figures.n_words"),
-        "word_chars": F.char_length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""))
-        .cast("bigint"),
+        "word_chars": F.col("_figures.word_chars"),
         "n_symbols": _count(text, "#*$%&|<>").cast("bigint"),
         "n_dup_lines": bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
         .cast("bigint"),
