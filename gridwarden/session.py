@@ -2,11 +2,15 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+_written = ContextVar("written", default=None)
+
 
 def build_session(app="gridwarden", master=None, **conf):
     """A session with the settings the library relies on.
@@ -56,5 +60,26 @@ def materialize(df: DataFrame, name) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    if _written.get() is not None:
+        _written.get().append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark):
+    """Delete at the end what ``materialize`` wrote inside, also after a failure.
+
+    For jobs that store their results inside the scope; a frame made there cannot be read
+    once it is over.
+    """
+    paths = []
+    outer = _written.set(paths)
+    try:
+        yield
+    finally:
+        _written.reset(outer)
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(
+                folder, True)

@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from gridwarden.operators import correlate, ingest
+from gridwarden.session import scratch
 from gridwarden.sinks import append_new, append_once, to_table
 from gridwarden.sources.logs import read_logs, split_rejects
 from gridwarden.sources.tables import (
@@ -143,7 +144,8 @@ def stream_matches(new_rows, all_rows, root, reference, match, table, checkpoint
         version = current_version(spark, root, reference)
         fresh = version != _last_matched(spark, done)
         rows = all_rows() if fresh else batch
-        append_new(match(rows, read_snapshot(spark, root, reference)), root, table)
+        with scratch(spark):
+            append_new(match(rows, read_snapshot(spark, root, reference)), root, table)
         if fresh:
             spark.createDataFrame([(version, float(clock()))], COMMIT_SCHEMA).coalesce(
                 1).write.mode("append").parquet(done)
@@ -160,9 +162,11 @@ def _last_matched(spark, path):
 
 
 def software_matcher(cves, encoder, run_ts):
-    """``match`` for software: ``cves`` is the raw list behind the reference."""
+    """``match`` for software: ``cves`` is the raw list behind the reference, or a function
+    that reads it, which a running job calls for every micro-batch."""
     def match(rows, reference):
-        return correlate.match_software(rows, cves, reference, encoder, run_ts)
+        listed = cves() if callable(cves) else cves
+        return correlate.match_software(rows, listed, reference, encoder, run_ts)
     return match
 
 

@@ -1,10 +1,13 @@
 import json
+import os
 
+import pytest
 from conftest import rows
 
 from gridwarden import schemas, sinks, streaming
 from gridwarden.functions import event_time
 from gridwarden.operators import correlate, ingest, state, vectors
+from gridwarden.session import materialize, scratch, shared_dir
 from gridwarden.sources import read_logs, read_table, split_rejects
 from pyspark.sql import functions as F
 
@@ -23,6 +26,25 @@ def conn_record(i):
             "conn_state": "S0" if i % 4 == 0 else "SF"}
 
 
+def leftovers(spark):
+    return set(os.listdir(shared_dir(spark).removeprefix("file:")))
+
+
+def test_scratch_deletes_what_was_written_inside(spark):
+    before = leftovers(spark)
+    outside = materialize(spark.range(3), "outside")
+    with scratch(spark):
+        assert materialize(spark.range(5), "inside").count() == 5
+        with scratch(spark):
+            materialize(spark.range(2), "nested")
+        assert {n.split("-")[0] for n in leftovers(spark) - before} == {"outside", "inside"}
+    with pytest.raises(ValueError), scratch(spark):
+        materialize(spark.range(2), "failed")
+        raise ValueError
+    assert {n.split("-")[0] for n in leftovers(spark) - before} == {"outside"}
+    assert outside.count() == 3
+
+
 def test_totals_and_hosts_survive_a_restart(spark, tmp_path):
     logs, root, checkpoint = tmp_path / "in", str(tmp_path / "store"), str(tmp_path / "cp")
     for i in range(4):
@@ -101,14 +123,16 @@ def test_matching_takes_all_rows_again_after_a_new_reference(spark, tmp_path):
         stream = spark.readStream.schema(schemas.SOFTWARE).parquet(f"{root}/software")
         streaming.stream_matches(
             stream, lambda: read_table(spark, root, "software"), root, "cve_descriptions",
-            streaming.software_matcher(cves, encoder, "t"), "cve_matches",
+            streaming.software_matcher(lambda: cves, encoder, "t"), "cve_matches",
             str(tmp_path / "cp"), ONCE).awaitTermination()
         return rows(read_table(spark, root, "cve_matches"), "source_key", "match_type")
 
     first = listed(("C1", "openssh", "remote login flaw", 5.0))
     sinks.replace(correlate.build_cve_reference(first, encoder), root, "cve_descriptions", 1.0)
     software("openssh")
+    before = leftovers(spark)
     one = run(first)
+    assert leftovers(spark) == before  # a micro-batch cleans up after itself
     assert ("h|openssh|C1", "fuzzy") in one
     software("nginx")
     two = run(first)
