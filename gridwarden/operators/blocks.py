@@ -14,8 +14,9 @@ def cell_join(left, right, left_id, right_id, left_rows, right_rows, fn, schema)
     def counted(df, rows, name):
         return df.groupBy("cell").agg(F.ceil(F.count("*") / rows).cast("int").alias(name))
 
-    sizes = counted(left, left_rows, "n_left").join(
-        counted(right, right_rows, "n_right"), "cell")
+    # One row per cell, of which callers make a fixed number: rows stay where they are.
+    sizes = F.broadcast(counted(left, left_rows, "n_left").join(
+        counted(right, right_rows, "n_right"), "cell"))
 
     def pieces(df, key, own, other):
         own_piece = F.pmod(F.xxhash64(key), F.col(f"n_{own}")).cast("int")

@@ -242,11 +242,16 @@ def _search_form(pattern):
     return "(?d)" + (pattern[2:] if bare else pattern)
 
 
+#: Parts that the records of one protocol and port are dealt to; each meets all its rules.
+RULE_SALTS = 32
+
+
 def match_signatures(records, rules=K.SIGNATURE_RULES):
     """Records whose payload or request matches a rule for their protocol and port.
 
     ``rules`` is a list of tuples or a DataFrame. A list becomes one constant pattern per
-    rule inside the scan, without a join; a DataFrame is joined on protocol and port.
+    rule inside the scan, without a join; a DataFrame is joined on protocol, port and a salt,
+    so that a port that holds most records is spread out.
     A rule's pattern is searched for anywhere unless it is anchored.
     """
     if isinstance(rules, (list, tuple)):
@@ -261,7 +266,11 @@ def match_signatures(records, rules=K.SIGNATURE_RULES):
             F.array(*hits), lambda h: h.isNotNull()))).withColumns(
             {"rule": F.col("hit.rule"), "event": F.col("hit.event")})
     else:
-        found = records.join(rules, ["proto", "dst_port"]).where(F.expr(
+        salt = F.pmod(F.xxhash64("ts", "src_h", "dst_h"), F.lit(RULE_SALTS)).cast("int")
+        spread = rules.withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0), F.lit(RULE_SALTS - 1))))
+        met = records.withColumn("_salt", salt).join(spread, ["proto", "dst_port", "_salt"])
+        found = met.where(F.expr(
             "CASE field WHEN 'payload' THEN payload WHEN 'http_request' THEN http_request END "
             r"RLIKE concat('(?d)', regexp_replace(pattern, r'^\.\*(?![?+{])', ''))"))
     return found.select(
