@@ -80,6 +80,18 @@ def test_packing(docs, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_ids_of_the_added_token():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from gridwarden.llm.tokens import token_encoder
+    whole = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    encode = token_encoder()
+    for text in ("<|endoftext|>", "a <|endoftext|> b<|endoftext|><|endoftext|>\n  é", "<|end", ""):
+        ids = np.frombuffer(encode(text), "<u4").tolist()
+        assert ids == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_genetic_steps_keep_every_document():
     rng = random.Random(2)
     counts = {rng.randint(1, 100): rng.randint(1, 50) for _ in range(40)}
