@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gridwarden.llm import (decontaminate, language, packing, pii, quality, rules, secrets,
                             sharding, simhash, warc)
-from gridwarden.llm.shared import whole
+from gridwarden.llm.shared import cut, whole
 from gridwarden.session import fresh_path
 
 QUERIES, SQL = {}, {}
@@ -163,6 +163,7 @@ def op9_warc(spark, sf_dir):
 
 @query("op10_quality_rules")
 def op10_quality_rules(spark, sf_dir):
-    return rules.judge(read(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select(
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return rules.verdict(cut(rules.measure(docs).drop("text"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept")

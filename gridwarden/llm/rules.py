@@ -11,8 +11,13 @@ COMMON = 20
 #: Characters and words below which a histogram says nothing, and words that a language's
 #: reference is made of at least.
 LEAST_CHARS, LEAST_WORDS, LEAST_REFERENCE = 200, 60, 2_000
-#: Jensen-Shannon distances (0 to 1) beyond which a text is unlike every language.
+#: Jensen-Shannon distances (0 to 1) beyond which a text is unlike every language; that of words
+#: holds where a language has too few texts to show how far its own lie.
 MOST_CHARS, MOST_WORDS = 0.27, 0.4
+#: Spreads above the median of a language's own texts of that length that a text may lie. A
+#: spread is taken from LEAST_TEXTS different ones at least, and is SCATTER / sqrt(words) at
+#: least, half of what words drawn at random scatter.
+SPREADS, LEAST_TEXTS, SCATTER = 4.0, 20, 0.15
 
 #: Character classes; what is in none of them is one more. Most characters are of the first.
 CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{N}", r"\s", r".,;:!?'\"()-", r"#*$%&|<>")
@@ -120,16 +125,47 @@ def word_counts(found, words):
         F.size(found) - F.aggregate(n, F.lit(0), lambda a, b: a + b))))
 
 
-def judge(docs: DataFrame, references=None) -> DataFrame:
-    """docs with the rules' figures and verdict.
+def length_class(n):
+    """Number of the half-octave of word counts, from LEAST_WORDS on, that ``n`` is in."""
+    return F.floor(2 * F.log2(n / LEAST_WORDS)).cast("int")
 
-    Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed (under 20
-    words, or over 30 % of them repeated), char_distance and word_distance (to the nearest
-    language reference; null for a text too short to tell, or without references) and kept: the
-    base rules hold and neither distance is too large. Columns of these names are replaced.
-    A null text has no words and fails; no documents give no rows. ``references`` are those of
-    ``docs`` if not given.
+
+def word_limits(measured: DataFrame):
+    """{lang: limits of the word distance, by length class}, from all of ``measure``'s rows.
+
+    A limit is the median distance of the texts that name the language and are nearest to it,
+    and SPREADS times their spread, which the lower half tells: what does not belong there is in
+    the upper one. Equal distances, as of copies, count once. Longer texts scatter less, so a
+    class of too few texts takes the limit of the next shorter one that has enough, and
+    MOST_WORDS without one; no limit is above it. A few dozen figures a language reach the
+    driver.
     """
+    own = measured.where(~F.col("base_failed") & (F.col("lang") == F.col("word_lang"))).select(
+        "lang", length_class(F.col("n_alnum")).alias("class"), "word_distance").distinct()
+    found = own.groupBy("lang", "class").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.percentile_approx("word_distance", [0.25, 0.5]).alias("q")).collect()
+    limits = {}
+    for lang in sorted({r.lang for r in found}):
+        mine = {r["class"]: r for r in found if r.lang == lang}
+        row = []
+        for at in range(max(mine) + 1):
+            limit = row[-1] if row else MOST_WORDS
+            if at in mine and mine[at].n >= LEAST_TEXTS:
+                low, middle = mine[at].q
+                least = SCATTER / (LEAST_WORDS * 2 ** (at / 2)) ** 0.5
+                # a quarter of a normal distribution lies 0.6745 of its spread below the median
+                # and the figure for it, from n values, has a standard error of 1.8 / sqrt(n) of it
+                spread = (middle - low) / 0.6745 * (1 + 1.8 / mine[at].n ** 0.5)
+                limit = min(MOST_WORDS, middle + SPREADS * max(least, spread))
+            row.append(limit)
+        limits[lang] = row
+    return limits
+
+
+def measure(docs: DataFrame, references=None) -> DataFrame:
+    """docs with all figures that ``judge`` adds but the verdict, and with n_alnum and word_lang,
+    the count of the words in the histogram and the language it is nearest to."""
     words, languages = references or language_references(docs)
     text = whole(F.col("text"))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
@@ -147,20 +183,51 @@ def judge(docs: DataFrame, references=None) -> DataFrame:
     }).drop("_figures").withColumn("base_failed", (F.col("n_words") < 20)
                   | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     if not languages:
-        far = {"char_distance": F.lit(None).cast("double"),
-               "word_distance": F.lit(None).cast("double")}
+        far = {"char_distance": F.lit(None).cast("double"), "n_alnum": F.lit(None).cast("int"),
+               "_near": F.lit(None).cast("struct<far:double,lang:string>")}
     else:
         def least(values):
             return F.array_min(F.array(*values))
 
         chars = bind(shares(class_counts(text), F.char_length(text)), lambda mine: least(
             [distance(mine, c) for c, _ in languages.values()]))
-        common = bind(alnum_words(text), lambda found: F.when(
-            F.size(found) >= LEAST_WORDS, bind(
+        common = bind(alnum_words(text), lambda found: F.struct(
+            F.size(found).alias("n"), F.when(F.size(found) >= LEAST_WORDS, bind(
                 shares(word_counts(found, words), F.size(found)), lambda mine: least(
-                    [distance(mine, w) for _, w in languages.values()]))))
+                    [F.struct(distance(mine, w).alias("far"), F.lit(lang).alias("lang"))
+                     for lang, (_, w) in languages.items()]))).alias("near")))
+        judged = judged.withColumn("_common", common)
         far = {"char_distance": F.when(F.char_length(text) >= LEAST_CHARS, chars),
-               "word_distance": common}
-    return judged.withColumns(far).withColumn(
+               "n_alnum": F.col("_common.n"), "_near": F.col("_common.near")}
+    return judged.withColumns(far).withColumns({
+        "word_distance": F.col("_near.far"), "word_lang": F.col("_near.lang"),
+    }).drop("_common", "_near")
+
+
+def verdict(measured: DataFrame, limits=None) -> DataFrame:
+    """``measure``'s rows with kept; ``limits`` are those of the rows if not given."""
+    limits = word_limits(measured) if limits is None else limits
+    most = F.lit(MOST_WORDS)
+    if limits:
+        mine = F.create_map(*[x for lang, row in limits.items() for x in (
+            F.lit(lang), F.array(*map(F.lit, row)))])[F.col("word_lang")]
+        most = F.coalesce(F.get(mine, F.least(length_class(F.col("n_alnum")), F.size(mine) - 1)),
+                          most)
+    return measured.withColumn(
         "kept", ~F.col("base_failed") & (F.coalesce("char_distance", F.lit(0.0)) <= MOST_CHARS)
-        & (F.coalesce("word_distance", F.lit(0.0)) <= MOST_WORDS))
+        & (F.coalesce("word_distance", F.lit(0.0)) <= most)).drop("n_alnum", "word_lang")
+
+
+def judge(docs: DataFrame, references=None, limits=None) -> DataFrame:
+    """docs with the rules' figures and verdict.
+
+    Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed (under 20
+    words, or over 30 % of them repeated), char_distance and word_distance (to the nearest
+    language reference; null for a text too short to tell, or without references) and kept: the
+    base rules hold and neither distance is too large, that of words for the nearest language
+    and the text's length. Columns of these names, n_alnum and word_lang are replaced, the last
+    two by none. A null text has no words and fails; no documents give no rows.
+    ``references`` and ``limits`` are those of ``docs`` if not given; to find the limits,
+    ``docs`` are read once more.
+    """
+    return verdict(measure(docs, references), limits)

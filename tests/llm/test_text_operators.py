@@ -108,6 +108,35 @@ def test_rules_keep_clean_text(spark):
     assert rate[1] > 0.99 and rate[0] < 0.7
 
 
+def test_rules_drop_long_word_lists(spark):
+    judged = queries.QUERIES["op10_quality_rules"](spark, "/root/testdata/sf0.01")
+    found = judged.where("doc_id in (232, 802, 845, 981)").collect()
+    assert len(found) == 4 and not any(r.base_failed or r.kept for r in found)
+    labelled = judged.join(queries.read(spark, "/root/testdata/sf0.01", "labels"), "doc_id")
+    assert labelled.where("quality = 0 and kept").count() < 10
+
+
+def test_word_limits(spark):
+    def texts(n, words, lang="en", near="en", failed=False):
+        return [(lang, near, words, 16 / words ** 0.5 / 8 * (1 + i % 40 / 100), failed)
+                for i in range(n)]
+
+    rows = [*texts(40, 70), *texts(40, 300), *texts(40, 300), *texts(10, 5000),
+            *[texts(1, 300)[0]] * 500, *texts(40, 70, near="de"), *texts(40, 70, failed=True),
+            *texts(5, 70, "de", "de"), (None, "en", 70, 0.01, False)]
+    measured = spark.createDataFrame(rows, "lang string, word_lang string, n_alnum int, "
+                                           "word_distance double, base_failed boolean")
+    limits = rules.word_limits(measured)
+    short, long, longest = limits["en"][0], limits["en"][4], limits["en"][-1]
+    assert 0.3 < short <= rules.MOST_WORDS and 0.16 < long < 0.25
+    assert longest == long and len(limits["en"]) == 13
+    assert limits["de"] == [rules.MOST_WORDS]
+    asked = spark.createDataFrame([(n, n, "en", 0.26, 0.1, False) for n in (70, 300, 9000)],
+                                  "id int, n_alnum int, word_lang string, word_distance double, "
+                                  "char_distance double, base_failed boolean")
+    assert [r.id for r in rules.verdict(asked, limits).where("kept").collect()] == [70]
+
+
 def test_language(docs, none, spark):
     found = queries.QUERIES["op7_language"](spark, "/root/testdata/sf0.01")
     truth = queries.read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang")
