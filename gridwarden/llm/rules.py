@@ -74,30 +74,39 @@ def repeated_words(words, window=WINDOW):
 def language_references(docs: DataFrame, common=COMMON):
     """Histograms of each language, from all documents that name one.
 
-    Returns (words, {lang: (class shares, word shares)}): the ``common`` most frequent words of
-    every language together, and each language's share of them and, last, of all other words.
-    Languages with fewer than LEAST_REFERENCE words have none. Only these figures, a few
-    hundred numbers, reach the driver.
+    Returns (words, {lang: (class shares, word shares)}, rare): the ``common`` most frequent
+    words of every language together, and each language's share of them and, last, of all other
+    words. Languages with fewer than LEAST_REFERENCE words are in rare alone, which holds their
+    words, class shares and word shares, the two lists without those of a language too short to
+    tell. Only these figures, a few hundred numbers a language, reach the driver.
     """
     named = docs.where("lang is not null").select("lang", whole(F.col("text")).alias("text"))
     counted = cut(named.select("lang", F.explode(alnum_words(F.col("text"))).alias("word"))
                   .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")))
-    total = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).where(
-        F.col("n") >= LEAST_REFERENCE).collect()}
+    sums = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).where(
+        F.col("n") >= LEAST_WORDS).collect()}
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     top = counted.withColumn("rank", rank).where(F.col("rank") <= common).collect()
-    words = sorted({r.word for r in top if r.lang in total})
-    met = counted.where(F.col("word").isin(words)).collect() if words else []
-    shares = {lang: dict.fromkeys(words, 0.0) for lang in total}
-    for r in met:
-        if r.lang in total:
+
+    def histograms(total):
+        words = sorted({r.word for r in top if r.lang in total})
+        met = counted.where(F.col("word").isin(words) & F.col("lang").isin(list(total))) \
+            .collect() if words else []
+        shares = {lang: dict.fromkeys(words, 0.0) for lang in sorted(total)}
+        for r in met:
             shares[r.lang][r.word] = r.n / total[r.lang]
+        return words, {lang: [*mine.values(), max(0.0, 1 - sum(mine.values()))]
+                       for lang, mine in shares.items()}
+
     counts = named.select("lang", class_counts(F.col("text")).alias("n")).groupBy("lang").agg(
         F.array(*[F.sum(F.col("n")[i]) for i in range(len(CLASSES) + 1)]).alias("n")).collect()
     classes = {r.lang: [n / max(sum(r.n), 1) for n in r.n] for r in counts}
-    return words, {lang: (classes[lang], [*shares[lang].values(),
-                                          max(0.0, 1 - sum(shares[lang].values()))])
-                   for lang in sorted(total)}
+    words, known = histograms({k: n for k, n in sums.items() if n >= LEAST_REFERENCE})
+    rare_words, rare = histograms({k: n for k, n in sums.items() if n < LEAST_REFERENCE})
+    rare_classes = [classes[r.lang] for r in sorted(counts, key=lambda r: r.lang)
+                    if r.lang not in known and sum(r.n) >= LEAST_CHARS]
+    return (words, {lang: (classes[lang], mine) for lang, mine in known.items()},
+            (rare_words, rare_classes, list(rare.values())))
 
 
 def shares(counts, total):
@@ -111,10 +120,18 @@ def distance(mine, reference):
         return (F.when(p > 0, p * F.log2(2 * p / twice)).otherwise(0.0)
                 + F.when(q > 0, q * F.log2(2 * q / twice)).otherwise(0.0)) / 2
 
-    parts = F.zip_with(mine, F.array(*map(F.lit, reference)), part)
+    if isinstance(reference, list):
+        reference = F.array(*map(F.lit, reference))
+    parts = F.zip_with(mine, reference, part)
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)))
 
 
+def least_distance(mine, references):
+    """The distance to the nearest of a list of references, of which there may be many."""
+    every = F.array(*[F.array(*map(F.lit, r)) for r in references])
+    return F.array_min(F.transform(every, lambda reference: distance(mine, reference)))
+
+
 def word_counts(found, words):
     """How often each of ``words`` is in the array, and how many others there are."""
     common = F.filter(found, lambda w: w.isin(words))
@@ -165,8 +182,9 @@ def word_limits(measured: DataFrame):
 
 def measure(docs: DataFrame, references=None) -> DataFrame:
     """docs with all figures that ``judge`` adds but the verdict, and with n_alnum and word_lang,
-    the count of the words in the histogram and the language it is nearest to."""
-    words, languages = references or language_references(docs)
+    the count of the words in the histogram and the language with a reference that it is nearest
+    to."""
+    words, languages, (rare_words, rare_classes, rare) = references or language_references(docs)
     text = whole(F.col("text"))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     figures = bind(space_words(text), lambda words: F.struct(
@@ -186,18 +204,35 @@ def measure(docs: DataFrame, references=None) -> DataFrame:
         far = {"char_distance": F.lit(None).cast("double"), "n_alnum": F.lit(None).cast("int"),
                "_near": F.lit(None).cast("struct<far:double,lang:string>")}
     else:
+        lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+        told = lang.isNull() | lang.isin(list(languages))
+
         def least(values):
             return F.array_min(F.array(*values))
 
-        chars = bind(shares(class_counts(text), F.char_length(text)), lambda mine: least(
-            [distance(mine, c) for c, _ in languages.values()]))
+        def near_chars(mine):
+            far = [distance(mine, c) for c, _ in languages.values()]
+            if rare_classes:
+                far.append(F.when(lang.isNull(), least_distance(mine, rare_classes)))
+            return least(far)
+
+        def near_words(found):
+            known = bind(shares(word_counts(found, words), F.size(found)), lambda mine: least(
+                [F.struct(distance(mine, w).alias("far"), F.lit(name).alias("lang"))
+                 for name, (_, w) in languages.items()]))
+            if not rare:
+                return known
+            other = bind(shares(word_counts(found, rare_words), F.size(found)),
+                         lambda mine: F.struct(least_distance(mine, rare).alias("far"),
+                                               F.lit(None).cast("string").alias("lang")))
+            return least([known, F.when(lang.isNull(), other)])
+
+        chars = bind(shares(class_counts(text), F.char_length(text)), near_chars)
         common = bind(alnum_words(text), lambda found: F.struct(
-            F.size(found).alias("n"), F.when(F.size(found) >= LEAST_WORDS, bind(
-                shares(word_counts(found, words), F.size(found)), lambda mine: least(
-                    [F.struct(distance(mine, w).alias("far"), F.lit(lang).alias("lang"))
-                     for lang, (_, w) in languages.items()]))).alias("near")))
+            F.size(found).alias("n"),
+            F.when(told & (F.size(found) >= LEAST_WORDS), near_words(found)).alias("near")))
         judged = judged.withColumn("_common", common)
-        far = {"char_distance": F.when(F.char_length(text) >= LEAST_CHARS, chars),
+        far = {"char_distance": F.when(told & (F.char_length(text) >= LEAST_CHARS), chars),
                "n_alnum": F.col("_common.n"), "_near": F.col("_common.near")}
     return judged.withColumns(far).withColumns({
         "word_distance": F.col("_near.far"), "word_lang": F.col("_near.lang"),
@@ -223,10 +258,13 @@ def judge(docs: DataFrame, references=None, limits=None) -> DataFrame:
 
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed (under 20
     words, or over 30 % of them repeated), char_distance and word_distance (to the nearest
-    language reference; null for a text too short to tell, or without references) and kept: the
-    base rules hold and neither distance is too large, that of words for the nearest language
-    and the text's length. Columns of these names, n_alnum and word_lang are replaced, the last
-    two by none. A null text has no words and fails; no documents give no rows.
+    language reference; null for a text too short to tell, for one that names a language
+    without a reference, or without references) and kept: the base rules hold and neither
+    distance is too large, that of words for the nearest language and the text's length. A text
+    that names no language may also be near to one of too few words for a reference, with
+    MOST_WORDS as limit. Columns of these names, n_alnum and word_lang are replaced, the last two
+    by none. A null text has no words and fails; no documents give no rows.
+
     ``references`` and ``limits`` are those of ``docs`` if not given; to find the limits,
     ``docs`` are read once more.
     """

@@ -1,5 +1,7 @@
 """Operators on single texts, against plain Python, on edge cases and on given tables."""
 
+import random
+
 import brute
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +118,27 @@ def test_rules_drop_long_word_lists(spark):
     assert labelled.where("quality = 0 and kept").count() < 10
 
 
+def test_rules_keep_rare_languages(spark):
+    def text(alphabet, n, seed):
+        rng = random.Random(seed)
+        letters = random.Random(alphabet)
+        words = ["".join(letters.choices(alphabet, k=letters.randint(2, 7))) for _ in range(300)]
+        return " ".join(rng.choices(words, [1 / (i + 1) for i in range(300)], k=n)) + "."
+
+    latin, arabic = "abcdefghilmnoprstu", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"
+    korean = "가나다라마바사아자차카타파하"
+    junk = " ".join(f"|{i}|" for i in range(1000, 1400))
+    rows = [(i, "en", text(latin, 150, i)) for i in range(30)]
+    rows += [(100, "ar", text(arabic, 120, 1)), (101, "ar", text(arabic, 120, 2)),
+             (102, None, text(arabic, 120, 3)), (103, "ko", text(korean, 80, 4)),
+             (104, None, text(latin, 150, 5)), (105, None, junk), (106, "en", junk)]
+    docs = spark.createDataFrame(rows, "doc_id int, lang string, text string")
+    got = {r.doc_id: r for r in rules.judge(docs).collect()}
+    assert all(got[i].kept for i in (*range(30), 100, 101, 102, 103, 104))
+    assert got[100].char_distance is None and got[103].word_distance is None
+    assert not got[105].kept and not got[106].kept and not got[106].base_failed
+
+
 def test_word_limits(spark):
     def texts(n, words, lang="en", near="en", failed=False):
         return [(lang, near, words, 16 / words ** 0.5 / 8 * (1 + i % 40 / 100), failed)
