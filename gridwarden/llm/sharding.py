@@ -13,12 +13,36 @@ SHARDS = 8
 ACCURACY = 10_000
 
 
-def _number(df, name):
-    """A number in the order of the column; a string's first six bytes as one."""
-    column = F.col(name)
-    if dict(df.dtypes)[name] == "string":
-        return F.conv(F.rpad(F.substring(F.hex(column), 1, 12), 12, "0"), 16, 10).cast("double")
-    return column.cast("double")
+def _is_string(df, name):
+    return dict(df.dtypes)[name] == "string"
+
+
+def _string_edges(df, name, parts):
+    """The values (bytes) at the given parts of the column's order, from exact counts.
+
+    A value with many rows is there several times, so that few values too are spread over all
+    cells. Distinct values are counted and dealt to tasks by range; the edges alone reach the
+    driver.
+    """
+    lots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = df.where(F.col(name).isNotNull()).groupBy(
+        F.col(name).cast("binary").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    dealt = cut(counted.repartitionByRange(lots, "value").withColumn(
+        "_lot", F.spark_partition_id()))
+    before = Window.orderBy("_lot").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("_lot").agg(F.sum("n").alias("_rows")).select(
+        "_lot", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"),
+        F.sum("_rows").over(Window.partitionBy()).alias("_total"))
+    up_to = Window.partitionBy("_lot").orderBy("value").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    through = F.col("_start") + F.sum("n").over(up_to)
+    ranks = F.array(*[F.ceil(F.lit(p) * F.col("_total")) for p in parts])
+    found = dealt.join(F.broadcast(starts), "_lot").select(
+        "value", "n", through.alias("through"), ranks.alias("ranks")).select(
+        "value", F.size(F.filter("ranks", lambda r: (
+            r > F.col("through") - F.col("n")) & (r <= F.col("through")))).alias("times"))
+    return [value for value, times in sorted((bytes(r["value"]), r["times"]) for r in found.where(
+        "times > 0").collect()) for _ in range(times)]
 
 
 def hilbert_index(cells, bits):
@@ -53,9 +77,10 @@ def hilbert_shards(rows: DataFrame, dimensions, ties=(), shards=SHARDS, bits=BIT
     """All columns of ``rows`` and hilbert, shard (0 on) and slot (gapless from 0 in a shard).
 
     Each dimension is cut at quantiles of its values over all rows into 2^bits cells (nulls
-    come first), rows are sorted by the cells' place on the curve, then by ``ties``, and runs
-    of the order are the shards, whose counts differ by one at most. Each shard thus spans a
-    compact range in every dimension and files of it can be skipped by any of them.
+    come first; strings are compared whole, in the order of their bytes), rows are sorted by the
+    cells' place on the curve, then by ``ties``, and runs of the order are the shards, whose
+    counts differ by one at most. Each shard thus spans a compact range in every dimension and
+    files of it can be skipped by any of them.
 
     Rows are dealt to tasks by range, equal ones by a number of their own, so neither a
     frequent value nor copies meet in one task. Equal rows stay equal but for their slots.
@@ -63,22 +88,35 @@ def hilbert_shards(rows: DataFrame, dimensions, ties=(), shards=SHARDS, bits=BIT
     _total and _rank are reserved. No rows give no rows.
     """
     spark = rows.sparkSession
-    numbers = [_number(rows, name) for name in dimensions]
     cells = 1 << bits
     parts = [i / (cells - 1) for i in range(1, cells - 1)]
-    quantiles = rows.agg(*[F.percentile_approx(n, parts, ACCURACY).alias(f"q{i}")
-                           for i, n in enumerate(numbers)]).first()
-    edges = [np.unique(np.array(q if q is not None else [], dtype=float)) for q in quantiles]
+    numbers = [name for name in dimensions if not _is_string(rows, name)]
+    quantiles = rows.agg(F.count(F.lit(1)), *[
+        F.percentile_approx(F.col(name).cast("double"), parts, ACCURACY).alias(f"q{i}")
+        for i, name in enumerate(numbers)]).first()[1:]
+    edges = {name: np.unique(np.array(q if q is not None else [], dtype=float))
+             for name, q in zip(numbers, quantiles)}
+
+    def point(name):
+        """The number to be cut at the column's edges, or a string's cell."""
+        column = F.col(name)
+        if name in edges:
+            return column.cast("double")
+        least = [F.lit(e) for e in _string_edges(rows, name, parts)]
+        cell = F.size(F.filter(F.array(*least), lambda e: e <= column.cast("binary"))) \
+            if least else F.lit(0)
+        return F.when(column.isNotNull(), cell + 1).otherwise(0).cast("double")
 
     @F.pandas_udf("bigint")
     def place(points: pd.DataFrame) -> pd.Series:
         cell = [np.where(points[c].isna(), 0, 1 + np.searchsorted(
-            e, points[c].fillna(0).to_numpy(float), "right"))
-            for c, e in zip(points.columns, edges)]
+            edges[name], points[c].fillna(0).to_numpy(float), "right"))
+            if name in edges else points[c].to_numpy(np.int64)
+            for c, name in zip(points.columns, dimensions)]
         return pd.Series(hilbert_index(cell, bits))
 
     order = ["hilbert", *ties, "_own"]
-    points = F.struct(*[n.alias(f"d{i}") for i, n in enumerate(numbers)])
+    points = F.struct(*[point(name).alias(f"d{i}") for i, name in enumerate(dimensions)])
     placed = rows.withColumn("hilbert", place(points)).withColumn(
         "_own", F.monotonically_increasing_id())
     lots = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -115,6 +115,19 @@ def test_hilbert_steps_are_neighbours():
     assert (np.abs(np.diff(path, axis=1)).sum(axis=0) == 1).all()
 
 
+def test_shards_of_strings_with_a_common_prefix(spark):
+    rows = spark.createDataFrame(
+        [(i, f"https://example.org/{i % 10}", None if i == 7 else (i * 37) % 1000)
+         for i in range(1000)], "doc_id int, source string, size int").repartition(3)
+    found = sharding.hilbert_shards(rows, ("source", "size"), ("doc_id",), shards=4).groupBy(
+        "shard").agg(F.count_distinct("source").alias("sources"),
+                     (F.max("size") - F.min("size")).alias("range")).collect()
+    assert len(found) == 4 and all(r.sources < 8 and r.range < 800 for r in found)
+    one = rows.select("doc_id", F.when(F.col("doc_id") > 5, F.lit("é\U0001F600")).alias("source"))
+    assert sharding.hilbert_shards(one, ("source",), ("doc_id",)).groupBy("hilbert").count() \
+        .select("count").orderBy("count").collect() == [(6,), (994,)]
+
+
 def test_sharding(docs, none, spark, tmp_path):
     rows = docs.select("doc_id", "lang", "n_chars", "shard").unionByName(
         docs.select("doc_id", "lang", "n_chars", "shard"))
