@@ -178,6 +178,9 @@ def plan_sequences(spark, counts, capacity=SEQUENCE, islands=ISLANDS, epochs=EPO
     ``counts`` has an entry for each length, at most ``capacity`` of them. Each island is a
     task that holds its own population; after an epoch its best solution goes to the next
     island. A solution has a few thousand patterns at most, whatever the documents' number.
+
+    Where best fit alone needs as many sequences as the tokens fill, no plan is better, and no
+    island runs.
     """
     floor = -(-sum(length * n for length, n in counts.items()) // capacity)
     best = best_fit(counts, capacity)
