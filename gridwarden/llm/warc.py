@@ -1,6 +1,7 @@
 """WARC archives: writing with revisit records, and reading by verified boundary chains."""
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridwarden.llm.shared import broadcast_if_short, cut, whole
 
-#: Payload bytes aimed at per archive; a reading task holds one archive at a time.
+#: Most bytes of an archive with more than one record; a reading task holds one archive at a time.
 ARCHIVE_BYTES = 8 << 20
 #: Shorter payloads are always stored.
 REVISIT_BYTES = 100
@@ -40,11 +41,32 @@ def records(pages: DataFrame, least=REVISIT_BYTES) -> DataFrame:
         .alias("refers_to"))
 
 
+def archive_numbers(archive_bytes):
+    """Numbers of a task's archives from its records' sizes, by the bytes so far.
+
+    Records that follow each other share an archive until the next one would not fit.
+    """
+    @F.pandas_udf("int")
+    def number(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        archive, used = 0, 0
+        for sizes in batches:
+            numbers = []
+            for size in sizes:
+                if used and used + size > archive_bytes:
+                    archive, used = archive + 1, 0
+                used += size
+                numbers.append(archive)
+            yield pd.Series(numbers, dtype="int32")
+
+    return number.asNondeterministic()
+
+
 def write_archives(pages: DataFrame, path, archive_bytes=ARCHIVE_BYTES) -> None:
     """Uncompressed WARC 1.1 files under ``path``, a record per page.
 
     A record is a row of text and its two closing line ends are the row separator, so Spark's
-    own writer makes the files, on any store that it can reach.
+    own writer makes the files, on any store that it can reach. A file has ``archive_bytes`` at
+    most, or a single record.
     """
     rows = records(pages)
     stored = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise("")
@@ -61,11 +83,10 @@ def write_archives(pages: DataFrame, path, archive_bytes=ARCHIVE_BYTES) -> None:
             F.col("refers_to").cast("string"), F.lit(">"))).otherwise(""),
         F.lit("\r\nContent-Length: "), F.octet_length(stored).cast("string"),
         F.lit(_END), stored)
-    size = pages.agg(F.sum(F.octet_length("html")).alias("bytes"),
-                     F.count(F.lit(1)).alias("pages")).first()
-    most = 1 + archive_bytes * size.pages // (size.bytes or 1)
-    rows.select(lines.alias("value")).write.option("lineSep", _END) \
-        .option("maxRecordsPerFile", most).text(path)
+    written = rows.select(lines.alias("value"))
+    size = F.octet_length("value") + len(_END)
+    written.withColumn("archive", archive_numbers(archive_bytes)(size)) \
+        .write.partitionBy("archive").option("lineSep", _END).text(path)
 
 
 def candidates(spark: SparkSession, path) -> DataFrame:

@@ -172,6 +172,18 @@ def test_archives(spark, same, monkeypatch, limit):
     assert warc.archived_pages(spark, empty).count() == 0
 
 
+def test_archives_are_bounded_by_bytes(spark):
+    pages = [(i, "u", f"{i} " * (20_000 if 1000 <= i < 1030 else 2)) for i in range(3000)]
+    pages.append((3000, "u", "x" * 500_000))
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    path = fresh_path(spark, "archives")
+    warc.write_archives(table, path, archive_bytes=250_000)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    sizes = sorted(r.length for r in files.select("length").collect())
+    assert sizes[-2] <= 250_000 < 500_000 < sizes[-1] < 501_000 and len(sizes) < 30
+    assert warc.archived_pages(spark, path).select("page_id").distinct().count() == 3001
+
+
 def test_spans_alternate_with_gaps(spark):
     df = spark.createDataFrame([("é1 22\U0001F600333",), ("none",), ("",)], "t string")
     rows = df.select(find_spans(F.col("t"), "[0-9]+").alias("s")).collect()
