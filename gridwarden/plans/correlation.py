@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gridwarden import sinks
 from gridwarden.functions import constants as K
-from gridwarden.operators import correlate, fuzzy, vectors
+from gridwarden.operators import analytics, correlate, fuzzy, vectors
 from gridwarden.plans import adapters as A, sql as S
 from gridwarden.plans.registry import query
 from gridwarden.session import fresh_path
@@ -260,23 +260,51 @@ def technique_matches(spark, sf):
     return correlate.match_techniques(A.alerts(spark, sf), reference, ENCODER, RUN_TS)
 
 
+@query(f"SELECT source_key, similarity FROM ({TECHNIQUE_MATCHES_SQL}) "
+       "ORDER BY similarity DESC NULLS LAST, source_key")
+def closest_techniques(spark, sf):
+    """The technique matches by similarity."""
+    rows = technique_matches(spark, sf).select("source_key", "similarity")
+    return analytics.by_score(rows, "similarity")
+
+
 # The documents' texts in all their languages as alerts' messages, some without a word.
 _TEXT_ALERTS = """text_alerts AS (SELECT CAST(doc_id AS VARCHAR) AS id, '' AS note_type,
     CASE WHEN doc_id % 10 = 0 THEN '...' ELSE coalesce(text, '') END AS message,
     'high' AS severity FROM documents)"""
 
 
-@query(f"""WITH {_TEXT_ALERTS} SELECT id, severity, message = '...' AS wordless
-    FROM text_alerts""")
-def techniques_of_texts(spark, sf):
-    """Every severe alert gets a technique, whatever its script."""
+def _text_matches(spark, sf):
     alerts = A.table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("id"), F.lit("").alias("note_type"),
         F.when(F.col("doc_id") % 10 == 0, "...").otherwise(F.coalesce("text", F.lit("")))
         .alias("message"), F.lit("high").alias("severity"))
     reference = correlate.build_technique_reference(A.technique_items(spark, sf), ENCODER)
-    found = correlate.match_techniques(alerts, reference, ENCODER, RUN_TS)
-    return found.select(
+    return correlate.match_techniques(alerts, reference, ENCODER, RUN_TS)
+
+
+@query(f"""WITH {_TEXT_ALERTS} SELECT id, severity, message = '...' AS wordless
+    FROM text_alerts""")
+def techniques_of_texts(spark, sf):
+    """Every severe alert gets a technique, whatever its script."""
+    return _text_matches(spark, sf).select(
         F.split_part("source_key", F.lit("|"), F.lit(1)).alias("id"),
         F.col("alert_severity").alias("severity"),
         (F.col("alert_message") == "...").alias("wordless"))
+
+
+@query(S.cte("technique_items").rstrip() + f""", {_TEXT_ALERTS},
+    texts AS (SELECT id, ': ' || message AS text FROM text_alerts),
+    tvec AS (SELECT text, {S.vector('text', DIM)} AS v FROM (SELECT DISTINCT text FROM texts)),
+    refs AS ({_TECHNIQUES}),
+    ranked AS (SELECT text, technique_id, round(list_cosine_distance(v, embedding), 9) AS d,
+        row_number() OVER (PARTITION BY text ORDER BY round(list_cosine_distance(v, embedding), 9),
+        technique_id) AS place FROM tvec, refs WHERE list_sum(v) > 0 AND list_sum(embedding) > 0)
+    SELECT id, coalesce(technique_id, (SELECT min(technique_id) FROM refs)) AS technique_id,
+        CAST(coalesce(round(1 - least(d, 1.0::DOUBLE), 3), 0) AS FLOAT) AS similarity
+    FROM texts LEFT JOIN (SELECT * FROM ranked WHERE place = 1) USING (text)""")
+def technique_of_each_text(spark, sf):
+    """Which technique each of these alerts gets, and how similar it is."""
+    return _text_matches(spark, sf).select(
+        F.split_part("source_key", F.lit("|"), F.lit(1)).alias("id"), "technique_id",
+        "similarity")

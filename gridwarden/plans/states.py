@@ -241,7 +241,7 @@ def best_matches(spark, sf):
 @query(S.cte("scored_matches") + """SELECT DISTINCT source_key, CAST(1 - cvss_score / 10 AS DOUBLE)
     AS similarity FROM scored_matches""")
 def closest_matches(spark, sf):
-    """The whole technique matches table, sorted by similarity."""
+    """All similarities made from the order lines, sorted; closest_techniques sorts real ones."""
     rows = A.scored_matches(spark, sf).select(
         "source_key", (1 - F.col("cvss_score") / 10).alias("similarity")).distinct()
     return analytics.by_score(rows, "similarity")

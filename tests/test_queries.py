@@ -2,6 +2,7 @@
 
 import pytest
 from oracle_check import compare, connect
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from gridwarden.plans import catalog
@@ -27,3 +28,11 @@ def test_entry(spark):
 def test_every_query_has_sql():
     assert set(catalog.QUERIES) == set(catalog.SQL)
     assert set(catalog.QUERIES) <= set(entry.queries())
+
+
+def test_wrong_techniques_are_found(spark, duck):
+    name = "technique_of_each_text"
+    found = catalog.QUERIES[name](spark, SF)
+    least = found.agg(F.min("technique_id")).first()[0]
+    for wrong in ({"technique_id": F.lit(least)}, {"similarity": F.lit(0.0).cast("float")}):
+        assert compare(found.withColumns(wrong), duck, catalog.SQL[name]) is not None
