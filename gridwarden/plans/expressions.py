@@ -9,7 +9,7 @@ from gridwarden.plans import adapters as A, sql as S
 from gridwarden.plans.registry import query
 from gridwarden.session import fresh_path
 from gridwarden.sources import (
-    flatten_nvd, flatten_stix, load_reference, read_agent_batches, read_logs, split_rejects,
+    flatten_nvd, flatten_stix, load_reference_lines, read_agent_batches, read_logs, split_rejects,
 )
 
 NOW = 1706745600.0  # the hour after the last event
@@ -271,10 +271,12 @@ def software_rows(spark, sf):
     return ingest.normalize_software(good)
 
 
-def write_conn_log(spark, sf, path, files=1):
-    A.conn(spark, sf).withColumnsRenamed({
+def write_conn_log(spark, sf, path, files=None):
+    """The log as JSON lines, a file per task that holds it, or in as many files."""
+    log = A.conn(spark, sf).withColumnsRenamed({
         "orig_h": "id.orig_h", "resp_h": "id.resp_h", "resp_p": "id.resp_p",
-    }).repartition(files).write.json(path)
+    })
+    (log.repartition(files) if files else log).write.json(path)
 
 
 @query(S.cte("conn_stats") + "SELECT * FROM conn_stats")
@@ -409,15 +411,12 @@ def stix_rows(spark, sf):
     split_part(description, ' as used by ', 2), pos) - 1 AS pos, cve_id,
     keyword, description, cvss_score FROM cve_items""")
 def cached_reference(spark, sf):
-    """A JSON array per product type, written as one document each and read back."""
+    """The list, by product type, written in files of JSON lines and read back."""
     path = fresh_path(spark, "reference")
-    item = F.struct("cve_id", "keyword", "description", "cvss_score")
     kind = F.split_part("description", F.lit(" as used by "), F.lit(2))
-    arrays = A.cve_items(spark, sf).groupBy(kind.alias("kind")).agg(
-        F.array_sort(F.collect_list(F.struct("pos", item.alias("item")))).alias("items"))
-    arrays.select("kind", F.to_json("items.item").alias("value")).write.partitionBy(
-        "kind").text(path)
-    return load_reference(spark, f"{path}/*.txt", "cve")
+    A.cve_items(spark, sf).orderBy(kind, "pos").select(
+        "cve_id", "keyword", "description", "cvss_score").write.json(path)
+    return load_reference_lines(spark, f"{path}/*.json", "cve")
 
 
 # -- requests ---------------------------------------------------------------------------

@@ -5,9 +5,11 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from gridwarden import schemas, session, sinks
+from gridwarden.plans import expressions
 from gridwarden.sinks.tables import with_event_date
 from gridwarden.sources import (
-    flatten_nvd, flatten_stix, load_nvd, load_reference, load_stix, read_snapshot, read_table,
+    flatten_nvd, flatten_stix, load_nvd, load_reference, load_reference_lines, load_stix,
+    read_snapshot, read_table,
 )
 
 
@@ -116,3 +118,24 @@ def test_shared_folder_comes_from_the_session(spark):
     assert session.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     one, two = session.fresh_path(spark, "x"), session.fresh_path(spark, "x")
     assert one != two and one.startswith(session.shared_dir(spark))
+
+
+def test_reference_lines_in_several_parts(spark, tmp_path):
+    lines = ['{"cve_id": "%d", "description": "%s"}' % (i, "a\\nb" * (i % 50)) for i in range(900)]
+    for k in range(3):
+        (tmp_path / f"{k}.json").write_text("\n".join(lines[300 * k:300 * k + 300]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        found = load_reference_lines(spark, f"{tmp_path}/*.json", "cve").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.pos, r.cve_id) for r in found) == [(i, str(i)) for i in range(900)]
+    assert load_reference_lines(spark, f"{tmp_path}/none*.json", "cve").count() == 0
+
+
+def test_conn_log_is_written_by_every_task(spark, tmp_path, monkeypatch):
+    conn = expressions.A.conn
+    monkeypatch.setattr(expressions.A, "conn", lambda *a: conn(*a).repartition(3))
+    expressions.write_conn_log(spark, "/root/testdata/sf0.001", f"{tmp_path}/log")
+    assert len(list((tmp_path / "log").glob("part-*"))) == 3
