@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from gridwarden.llm import (decontaminate, language, packing, pii, quality, rules, secrets,
-                            sharding, simhash, warc)
+from gridwarden.llm import (decontaminate, importance, language, middle, packing, pieces, pii,
+                            quality, rules, secrets, sharding, simhash, warc)
 from gridwarden.llm.shared import cut, whole
 from gridwarden.session import fresh_path
 
@@ -62,12 +62,11 @@ docs AS (
            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
     FROM documents),
-places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM docs),
-hits AS (
-    SELECT p.doc_id, p.i, len(v.words) AS n, v.ids
-    FROM (SELECT DISTINCT len(words) AS n FROM windows) AS s, places AS p
-    JOIN windows AS v ON p.w[p.i:p.i + s.n - 1] = v.words
-    WHERE len(v.words) = s.n AND p.i + s.n - 1 <= len(p.w)),
+places AS (
+    SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i,
+           unnest(list_transform(range(1, len(w) - n + 2), lambda k: w[k:k + n - 1])) AS words
+    FROM docs, (SELECT DISTINCT len(words) AS n FROM windows) WHERE len(w) >= n),
+hits AS (SELECT doc_id, i, n, ids FROM places JOIN windows USING (words)),
 hit_words AS (SELECT doc_id, count(DISTINCT k) AS n_hit
     FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY 1),
 hit_items AS (SELECT doc_id, list(DISTINCT id ORDER BY id) AS ids
@@ -167,3 +166,98 @@ def op10_quality_rules(spark, sf_dir):
     return rules.verdict(cut(rules.measure(docs).drop("text"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept")
+
+
+@query("op11_sentencepiece")
+def op11_sentencepiece(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, decoded=True).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op12_fill_in_middle", r"""
+WITH hashed AS (
+    SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id) AS h,
+           regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines FROM documents),
+numbers AS (
+    SELECT doc_id, t, lines, CAST(len(lines) AS BIGINT) AS n,
+           CAST('0x' || h[1:8] AS BIGINT) % (len(lines) + 1) AS a,
+           CAST('0x' || h[9:16] AS BIGINT) % (len(lines) + 1) AS b,
+           CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                     OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 100 THEN 'plain'
+                WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+    FROM hashed),
+parts AS (
+    SELECT doc_id, t, n, form,
+           coalesce(array_to_string(lines[1:least(a, b)], ''), '') AS p,
+           coalesce(array_to_string(lines[least(a, b) + 1:greatest(a, b)], ''), '') AS m,
+           coalesce(array_to_string(lines[greatest(a, b) + 1:], ''), '') AS s FROM numbers)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+""")
+def op12_fill_in_middle(spark, sf_dir):
+    path = fresh_path(spark, "texts")
+    middle.store_texts(read(spark, sf_dir, "documents"), path)
+    made = middle.fill_in_middle(spark.read.parquet(path))
+    return middle.digests(made).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+_CRC_SQL = """
+steps AS MATERIALIZED (
+    SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i:
+           xor(c >> 1, 3988292384 * (c & 1)), CAST(b AS BIGINT))) AS step),
+hashed AS MATERIALIZED (
+    SELECT f, xor(list_reduce(list_transform(range(CAST(strlen(f) AS BIGINT)), lambda i:
+               CAST('0x' || substr(hex(f), 2 * i + 1, 2) AS BIGINT)), lambda c, b:
+               xor(c >> 8, step[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+    FROM (SELECT f FROM features UNION SELECT f FROM aims), steps)"""
+
+
+@query("op13_importance", rf"""
+WITH words AS MATERIALIZED (
+    SELECT doc_id, false AS aim, regexp_extract_all(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+    UNION ALL
+    SELECT 0, true, regexp_extract_all(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+runs AS MATERIALIZED (
+    SELECT doc_id, aim, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i:
+           w[i] || ' ' || w[i + 1]))) AS f FROM words),
+features AS MATERIALIZED (SELECT doc_id, f, count(*) AS k FROM runs WHERE NOT aim GROUP BY 1, 2),
+aims AS MATERIALIZED (SELECT f, count(*) AS k FROM runs WHERE aim GROUP BY 1),{_CRC_SQL},
+counts AS (
+    SELECT bucket, sum(s) AS s, sum(t) AS t FROM (
+        SELECT bucket, k AS s, 0 AS t FROM features JOIN hashed USING (f) UNION ALL
+        SELECT bucket, 0, k FROM aims JOIN hashed USING (f)) GROUP BY 1),
+gain AS MATERIALIZED (
+    SELECT bucket, floor(1000 * ln((t + 1) * CAST(sum(s) OVER () + 10000 AS DOUBLE)
+           / ((s + 1) * CAST(sum(t) OVER () + 10000 AS DOUBLE)))) AS g FROM counts),
+weights AS (
+    SELECT doc_id, sum(k) AS n, floor(sum(k * g) / sum(k)) AS w
+    FROM features JOIN hashed USING (f) JOIN gain USING (bucket) GROUP BY 1),
+scores AS (
+    SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_features,
+           CAST(coalesce(w, 0) AS BIGINT) AS weight,
+           CAST(coalesce(w, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256(
+               '7:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+    FROM documents AS d LEFT JOIN weights USING (doc_id)),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY n_features >= 39
+                                 ORDER BY score DESC, doc_id) AS place,
+           count(*) FILTER (n_features >= 39) OVER () AS able FROM scores)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 39 AND place <= (25 * able) // 100 THEN place END AS rank
+FROM ranked
+""")
+def op13_importance(spark, sf_dir):
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
