@@ -3,7 +3,8 @@
 import heapq
 import re
 from functools import lru_cache
-from itertools import groupby
+from itertools import chain, groupby
+from typing import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,9 @@ from gridwarden.llm.shared import whole
 
 SPACE = "▁"
 #: Entries that a worker remembers: encoded chunks of at most so many characters, token pairs.
-CHUNKS, LONGEST, PAIRS = 400_000, 64, 500_000
+CHUNKS, LONGEST, PAIRS = 400_000, 64, 300_000
+#: Ids that are given back together, or those of one text.
+TOGETHER = 1 << 19
 
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
@@ -70,17 +73,17 @@ class MergeEncoder:
         self.nothing = len(self.tokens)  # stands before the first token
         self.tokens.append("")
         self.lengths = [len(t) for t in self.tokens]
-        # Read from its end, a text shows all tokens that begin at a place together, longest first.
+        # the longest other token that each one begins with; -1 for none
+        numbers = {t: i for i, t in enumerate(self.tokens[:-1])}
+        self.shorter = [next((numbers[t[:n]] for n in range(len(t) - 1, 0, -1)
+                              if t[:n] in numbers), -1) for t in self.tokens]
+        # Read from its end, a text shows the tokens that begin at a place together, longest first.
         self.automaton = ahocorasick.Automaton()
         for number, token in enumerate(self.tokens[:-1]):
             self.automaton.add_word(token[::-1], number)
         self.automaton.make_automaton()
-        # No piece reaches over the edge of such a chunk: some letters only stand alone, and no
-        # piece goes on to a space sign from something else.
-        joined = {c for p in scores if len(p) > 1 for c in p} - {SPACE}
-        inner = f"[{re.escape(''.join(sorted(joined)))}]" if joined else "(?!)"
-        crossed = any(a != SPACE and b == SPACE for p in scores for a, b in zip(p, p[1:]))
-        self.chunks = re.compile(r"(?s).+" if crossed else rf"(?s){SPACE}*{inner}+|{SPACE}+|.")
+        self.chunks = re.compile(_chunks(scores))
+        self.single = {t: i for t, i in zip(self.tokens, self.ids) if len(t) == 1}
         self.fits, self.known = {}, {}
 
     def _bytes(self, character):
@@ -100,66 +103,89 @@ class MergeEncoder:
 
     def _run(self, text):
         """Numbers of the tokens of a text whose characters all occur in pieces."""
-        size, lengths, fits, many = len(text), self.lengths, self.fits, len(self.tokens)
-        begins, last = [None] * size, -1
+        size, lengths, shorter = len(text), self.lengths, self.shorter
+        fits, many = self.fits, len(lengths)
+        longest, seen = [-1] * size, size
         for end, number in self.automaton.iter(text[::-1]):
-            if end == last:
-                here.append(number)
-            else:
-                here = begins[size - 1 - end] = [number]
-                last = end
-        failed = bytearray(size // 8 + 1)
-        taken, choices, at, choice, before = [], [], 0, 0, self.nothing
-        while at < size:
-            options = begins[at]
-            while choice < len(options):
-                token = options[choice]
-                end = at + lengths[token]
-                if not failed[end >> 3] >> (end & 7) & 1:
-                    fit = fits.get(before * many + token)
-                    if self.compatible(before, token) if fit is None else fit:
-                        taken.append(token)
-                        choices.append(choice)
-                        at, choice, before = end, 0, token
-                        break
-                choice += 1
-            else:
+            if end != seen:  # the first that ends here is the longest
+                longest[size - 1 - end], seen = number, end
+        failed, any_failed = None, False
+        taken, at, before, token = [], 0, self.nothing, longest[0]
+        while True:
+            end = at + lengths[token]
+            if not (any_failed and failed[end >> 3] >> (end & 7) & 1):
+                fit = fits.get(before * many + token)
+                if self.compatible(before, token) if fit is None else fit:
+                    taken.append(token)
+                    if end == size:
+                        return taken
+                    at, before, token = end, token, longest[end]
+                    continue
+            token = shorter[token]
+            while token < 0:  # nothing fits here: never come back, and go on one token before
+                if not any_failed:
+                    failed, any_failed = bytearray(size // 8 + 1), True
                 failed[at >> 3] |= 1 << (at & 7)
-                at -= lengths[taken.pop()]
-                choice = choices.pop() + 1
+                at -= lengths[before]
+                token = shorter[taken.pop()]
                 before = taken[-1] if taken else self.nothing
-        return taken
 
     def _chunk(self, text):
+        if len(text) == 1 and text in self.single:
+            return self.single[text]
         if self.letters.issuperset(text):
             return [i for token in self._run(text) for i in self.ids[token]]
         out = []
         for lettered, run in groupby(text, self.letters.__contains__):
-            if lettered:
-                out += self._chunk("".join(run))
-            elif self.byte_ids is None:
-                out.append(self.unknown)
-            else:
-                for character in run:
-                    out += self._bytes(character)
+            for part in ["".join(run)] if lettered else run:
+                out += self._chunk(part) if lettered else self._bytes(part)
         return out
 
     def encode(self, text):
         """Ids of a whole text; its spaces become the space sign, one more stands before it."""
-        out = []
-        if text:
-            for chunk in self.chunks.findall(SPACE + text.replace(" ", SPACE)):
-                ids = self.known.get(chunk)
-                if ids is None:
-                    ids = tuple(self._chunk(chunk))
-                    if len(chunk) <= LONGEST:
-                        if len(self.known) >= CHUNKS:
-                            self.known.clear()
-                        self.known[chunk] = ids
-                out += ids
+        if not text:
+            return []
+        chunks, known = self.chunks.findall(SPACE + text.replace(" ", SPACE)), self.known
+        if len(known) >= CHUNKS:
+            known.clear()
+        new = set(chunks).difference(known)
+        for chunk in new:
+            known[chunk] = tuple(self._chunk(chunk))
+        out = list(chain.from_iterable(map(known.__getitem__, chunks)))
+        if self.byte_ids is None:  # neighbours without a piece are unknown together
+            out = [i for n, i in enumerate(out) if i != self.unknown or out[n - 1:n] != [i]]
+        for chunk in new:
+            if len(chunk) > LONGEST:
+                del known[chunk]
         return out
 
 
+def _chunks(scores):
+    """A pattern of chunks that no piece reaches over the edge of.
+
+    Letters of a chunk belong to one set of those that pieces join, space signs stand before
+    them, and a letter that no piece joins to another is a chunk.
+    """
+    joined = {}
+
+    def of(letter):
+        while joined.setdefault(letter, letter) != letter:
+            letter = joined[letter]
+        return letter
+
+    for piece in scores:
+        for a, b in zip(piece, piece[1:]):
+            if a != SPACE and b == SPACE:
+                return r"(?s).+"  # space signs may follow anything
+            if SPACE not in (a, b) or a != b:
+                joined[of(a if a != SPACE else b)] = of(b)
+    sets = {}
+    for letter in sorted(joined):
+        sets.setdefault(of(letter), []).append(letter)
+    kinds = sorted(map("".join, sets.values()), key=len, reverse=True)
+    return "(?s)" + "|".join([*(f"{SPACE}*[{re.escape(k)}]+" for k in kinds), f"{SPACE}+", "."])
+
+
 def model_path():
     import public_tokenizers
     return public_tokenizers.path("piece_bpe_32k.model")
@@ -197,26 +223,38 @@ def encode(docs: DataFrame, model=None, end=True, decoded=False) -> DataFrame:
 
     model: path of a SentencePiece model of merge type on every executor; the installed 32k one
     if not given. Ids are those of the library without sampling; ``end`` adds the id that ends a
-    text. A null or empty text has no ids but that one. Memory is that of one batch of rows and
-    its ids, whatever the texts' length; repeated rows are each returned; no rows give no rows.
+    text. A null or empty text has no ids but that one. Memory is that of one batch of texts and
+    the ids of one text; repeated rows are each returned; no rows give no rows.
     Columns that are called ids or decoded are replaced, others kept.
     """
     path = str(model or model_path())
     kind = "ids array<int>, decoded string" if decoded else "ids array<int>"
 
     @F.pandas_udf(kind)
-    def ids_of(texts: pd.Series) -> pd.DataFrame:
+    def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder, last = load(path)
-        ids = [encoder.encode(text) + [last] * end for text in texts]
-        out = {"ids": [np.array(i, np.int32) for i in ids]}
-        if decoded:
-            out["decoded"] = [decoder(path).decode(i) for i in ids]
-        return pd.DataFrame(out)
+        for texts in batches:
+            found, back, size = [], [], 0
+            for text in texts:
+                ids = encoder.encode(text) + [last] * end
+                found.append(np.array(ids, np.int32))
+                if decoded:
+                    back.append(decoder(path).decode(ids))
+                size += len(ids)
+                if size >= TOGETHER:
+                    yield _frame(found, back)
+                    found, back, size = [], [], 0
+            if found:
+                yield _frame(found, back)
 
     return docs.withColumn("_ids", ids_of(whole(F.col("text")))).select(
         *[c for c in docs.columns if c not in ("ids", "decoded")], "_ids.*")
 
 
+def _frame(ids, decoded):
+    return pd.DataFrame({"ids": ids, "decoded": decoded} if decoded else {"ids": ids})
+
+
 def decode(rows: DataFrame, model=None) -> DataFrame:
     """rows (ids, others kept) with decoded, the text of the ids; null ids have an empty one."""
     path = str(model or model_path())
