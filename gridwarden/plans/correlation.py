@@ -1,14 +1,14 @@
 """Queries over text, vector and match joins."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, Window as W
 
 from gridwarden import sinks
 from gridwarden.functions import constants as K
 from gridwarden.operators import analytics, correlate, fuzzy, vectors
 from gridwarden.plans import adapters as A, sql as S
 from gridwarden.plans.registry import query
-from gridwarden.session import fresh_path
-from gridwarden.sources import read_snapshot
+from gridwarden.session import fresh_path, materialize
+from gridwarden.sources import flatten_nvd, load_nvd, read_snapshot
 
 DIM = 64
 RUN_TS = "2024-02-01T00:00:00"
@@ -217,7 +217,7 @@ def semantic_matches(spark, sf):
         A.software(spark, sf), _reference(spark, sf), ENCODER))
 
 
-@query(_FUZZY + ",\n" + _SEMANTIC + f""", both_kinds AS (
+_MATCHES = f""", both_kinds AS (
     SELECT host, name, cve_id, id, 0 AS match_rank, pos, software,
         CAST(cvss_score AS FLOAT) AS cvss_score, description, match_type FROM fuzzy
     UNION ALL SELECT host, name, cve_id, id, 1, pos, software, cvss_score, description,
@@ -226,12 +226,61 @@ def semantic_matches(spark, sf):
         ORDER BY id, match_rank, pos) AS place FROM both_kinds)
     SELECT 'cve_' || {S.digest('host', 'name', 'cve_id')} AS id,
         host || '|' || name || '|' || cve_id AS source_key, host, software, cve_id, cvss_score,
-        description, match_type, '{RUN_TS}' AS ts FROM first_match WHERE place = 1""")
+        description, match_type, '{RUN_TS}' AS ts FROM first_match WHERE place = 1"""
+CVE_MATCHES_SQL = _FUZZY + ",\n" + _SEMANTIC + _MATCHES
+
+
+@query(CVE_MATCHES_SQL)
 def cve_matches(spark, sf):
     return correlate.match_software(
         A.software(spark, sf), _cves(spark, sf), _reference(spark, sf), ENCODER, RUN_TS)
 
 
+# Every vulnerability is on a page found by the product's name and, with another score and text,
+# on one found by the first word of it. Pages of a keyword hold up to ten items.
+_PAGED = """found AS (SELECT keyword, cve_id, description, cvss_score, pos FROM cve_items
+        UNION ALL SELECT split_part(keyword, ' ', 1), cve_id,
+        'Again ' || description, round(cvss_score / 2, 1), pos FROM cve_items),
+    paged AS (SELECT row_number() OVER (ORDER BY replace(keyword, ' ', '%20') || '/', pos) - 1
+        AS pos, keyword, cve_id, description, cvss_score FROM found),
+    last_listed AS (SELECT cve_id, arg_max(description, pos) AS description,
+        arg_max(cvss_score, pos) AS cvss_score FROM paged GROUP BY cve_id)"""
+
+
+def _write_pages(spark, sf, path):
+    """Pages as they are downloaded, a folder per keyword."""
+    items = _cves(spark, sf)
+    found = items.unionByName(items.select(
+        "pos", "cve_id", F.split_part("keyword", F.lit(" "), F.lit(1)).alias("keyword"),
+        F.concat(F.lit("Again "), "description").alias("description"),
+        F.round(F.col("cvss_score") / 2, 1).alias("cvss_score")))
+    place = F.row_number().over(W.partitionBy("keyword").orderBy("pos"))
+    pages = found.withColumn("page", F.floor((place - 1) / 10)).withColumn("item", F.expr("""
+        named_struct('cve', named_struct('id', cve_id,
+            'descriptions', array(named_struct('lang', 'en', 'value', description)),
+            'metrics', named_struct('cvssMetricV31', array(named_struct(
+                'cvssData', named_struct('baseScore', cvss_score))))))""")).groupBy(
+        "keyword", "page").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "item"))),
+                                           lambda x: x["item"]).alias("vulnerabilities"))
+    pages.repartitionByRange("keyword", "page").sortWithinPartitions("keyword", "page").select(
+        "keyword", "vulnerabilities").write.partitionBy("keyword").json(path)
+
+
+@query(",\n".join([_BASE, _PAGED, _SCORES, _FIRST.format(threshold=K.FUZZY_THRESHOLD),
+                   _SEMANTIC]).replace("DISTINCT lower(keyword) AS keyword FROM cve_items",
+                                       "DISTINCT lower(keyword) AS keyword FROM paged")
+       .replace("JOIN cve_items ON lower(cve_items.keyword)", "JOIN paged ON lower(paged.keyword)")
+       .replace("AS v FROM cve_items)", "AS v FROM last_listed)") + _MATCHES)
+def cve_matches_from_pages(spark, sf):
+    """From downloaded pages to matches: a vulnerability's place in the list decides which of its
+    listings counts."""
+    path = fresh_path(spark, "pages")
+    _write_pages(spark, sf, path)
+    listed = materialize(flatten_nvd(load_nvd(spark, path, lines=True), F.col("keyword")), "list")
+    reference = correlate.build_cve_reference(listed, ENCODER)
+    return correlate.match_software(A.software(spark, sf), listed, reference, ENCODER, RUN_TS)
+
+
 # -- alerts and techniques ----------------------------------------------------------------------
 
 TECHNIQUE_MATCHES_SQL = S.cte("alerts", "technique_items").rstrip() + f""",

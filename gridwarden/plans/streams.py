@@ -6,7 +6,9 @@ from gridwarden import schemas, sinks, streaming
 from gridwarden.functions import event_time
 from gridwarden.operators import correlate, state
 from gridwarden.plans import adapters as A, sql as S
-from gridwarden.plans.correlation import ENCODER, RUN_TS, TECHNIQUE_MATCHES_SQL
+from gridwarden.plans.correlation import (
+    CVE_MATCHES_SQL, ENCODER, RUN_TS, TECHNIQUE_MATCHES_SQL,
+)
 from gridwarden.plans.detections import AGENT_SCANS_SQL, SENSOR_SCANS_SQL
 from gridwarden.plans.expressions import (
     BATCH_ALERTS_SQL, NOTICE_ALERTS_SQL, SOFTWARE_ROWS_SQL, write_conn_log, write_notices, write_software_log,
@@ -94,10 +96,9 @@ def streamed_assets(spark, sf):
     return state.collapse_assets(read_table(spark, root, "asset_observations"))
 
 
-def _scan_stream(spark, sf, refire):
+def _scan_stream(spark, events, refire):
     """The scan input as a stream, closed by one late event that moves the watermark on."""
     logs, out, checkpoint = _paths(spark, "scan-stream")
-    events = A.scan_events(spark, sf)
     end = events.agg((F.max("ts") + 7200).alias("ts")).select(
         "ts", F.lit("0.0.0.0").alias("orig_h"), F.lit("").alias("resp_h"),
         F.lit(0).alias("resp_p"), F.lit("tcp").alias("proto"))
@@ -112,12 +113,19 @@ def _scan_stream(spark, sf, refire):
 
 @query(AGENT_SCANS_SQL)
 def streamed_agent_scans(spark, sf):
-    return _scan_stream(spark, sf, refire=False)
+    return _scan_stream(spark, A.scan_events(spark, sf), refire=False)
 
 
 @query(SENSOR_SCANS_SQL)
 def streamed_sensor_scans(spark, sf):
-    return _scan_stream(spark, sf, refire=True)
+    return _scan_stream(spark, A.scan_events(spark, sf), refire=True)
+
+
+@query(AGENT_SCANS_SQL.replace("'10.0.0.' || (user_id % 3) AS orig_h", "'10.0.0.0' AS orig_h"))
+def streamed_scans_of_one_source(spark, sf):
+    """All events come from one source."""
+    events = A.scan_events(spark, sf).withColumn("orig_h", F.lit("10.0.0.0"))
+    return _scan_stream(spark, events, refire=False)
 
 
 @query(S.cte("agent_conn") + f"""SELECT * FROM (SELECT agent_id,
@@ -150,3 +158,36 @@ def streamed_technique_matches(spark, sf):
         streaming.technique_matcher(ENCODER, RUN_TS), "mitre_matches", checkpoint, ONCE,
     ).awaitTermination()
     return read_table(spark, root, "mitre_matches")
+
+
+def _earlier_list(spark, sf):
+    """The list as it was: some items missing, some with another keyword and text, and some that
+    are withdrawn since."""
+    listed = A.cve_items(spark, sf)
+    was = listed.where("pos % 5 <> 0").withColumns({
+        "keyword": F.when(F.col("pos") % 7 == 0, F.concat("keyword", F.lit(" mk2"))).otherwise(
+            F.col("keyword")),
+        "description": F.when(F.col("pos") % 7 == 0, F.concat(
+            F.lit("Earlier "), "description")).otherwise(F.col("description")),
+        "cvss_score": F.when(F.col("pos") % 11 == 0, 1.5).otherwise(F.col("cvss_score"))})
+    withdrawn = listed.where("pos % 3 = 0").select(
+        (F.col("pos") + 1_000_000).alias("pos"), F.concat(F.lit("GONE-"), "pos").alias("cve_id"),
+        "keyword", F.concat(F.lit("Withdrawn "), "description").alias("description"),
+        "cvss_score")
+    return was.unionByName(withdrawn)
+
+
+@query(CVE_MATCHES_SQL)
+def streamed_cve_matches(spark, sf):
+    """Half of the software under an earlier list, the other half under the one that replaced it:
+    the same matches as of all software and the last list."""
+    _, root, checkpoint = _paths(spark, "software-match-stream")
+    rows = A.software(spark, sf)
+    half = F.pmod(F.hash("id"), F.lit(2))
+    for part, listed in ((0, _earlier_list(spark, sf)), (1, A.cve_items(spark, sf))):
+        sinks.replace(listed, root, "cve_list")
+        sinks.append(rows.where(half == part), root, "software")
+        stream = spark.readStream.schema(schemas.SOFTWARE).parquet(f"{root}/software")
+        streaming.stream_software_matches(
+            stream, root, ENCODER, RUN_TS, checkpoint, ONCE).awaitTermination()
+    return streaming.read_matches(spark, root, checkpoint)

@@ -66,6 +66,7 @@ STIX_BUNDLE = _struct("objects", ArrayType(_struct(
     kill_chain_phases=ArrayType(_struct("phase_name")))))
 CVE_CACHE = _struct("cve_id keyword description cvss_score", cvss_score=DOUBLE)
 TECHNIQUE_CACHE = _struct("technique_id name tactic description")
+CVE_LIST = _struct("pos cve_id keyword description cvss_score", pos=LONG, cvss_score=DOUBLE)
 
 LOGS = {
     "conn": CONN_LOG, "notice": NOTICE_LOG, "software": SOFTWARE_LOG, "modbus": MODBUS_LOG,
@@ -75,7 +76,7 @@ LOGS = {
 
 TABLES = {
     "alerts": ALERTS, "software": SOFTWARE, "connection_stats": CONNECTION_STATS,
-    "cve_descriptions": CVE_DESCRIPTIONS, "mitre_attack": MITRE_ATTACK,
+    "cve_list": CVE_LIST, "cve_descriptions": CVE_DESCRIPTIONS, "mitre_attack": MITRE_ATTACK,
     "cve_matches": CVE_MATCHES, "mitre_matches": MITRE_MATCHES,
     "alert_actions": ALERT_ACTIONS, "asset_observations": ASSET_OBSERVATIONS,
     "asset_admin": ASSET_ADMIN, "ip_policies": IP_POLICIES, "agents": AGENTS,

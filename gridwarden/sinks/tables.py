@@ -4,12 +4,11 @@ import datetime
 import time
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from gridwarden import schemas
 from gridwarden.functions.times import epoch_micros
-from gridwarden.sources.tables import COMMIT_SCHEMA, COMMITS, read_table
+from gridwarden.sources.tables import COMMIT_SCHEMA, COMMITS, stored_files
 
 
 def to_table(df, table):
@@ -42,12 +41,8 @@ def unseen(df, existing, key="source_key"):
 
 def append_new(df, root, table, key="source_key"):
     """Append rows with unseen keys. The first write creates the table."""
-    rows = to_table(df, table).dropDuplicates([key])
-    try:
-        rows = unseen(rows, read_table(df.sparkSession, root, table, [key]), key)
-    except AnalysisException:  # nothing stored yet
-        pass
-    append(rows, root, table)
+    stored = stored_files(df.sparkSession, f"{root}/{table}", schemas.TABLES[table])
+    append(unseen(to_table(df, table), stored, key), root, table)
 
 
 def replace(df, root, table, committed=None):

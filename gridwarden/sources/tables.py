@@ -1,5 +1,6 @@
 """Stored tables on Parquet."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from gridwarden import schemas
@@ -8,6 +9,19 @@ COMMITS = "_commits"
 COMMIT_SCHEMA = "version string, committed double"
 
 
+def stored_files(spark, path, schema):
+    """What is stored under ``path``; no rows if nothing has been written there yet.
+
+    Any other failure is raised: a table that can't be read is not an empty one.
+    """
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def read_table(spark, root, table, columns=None):
     """A stored table; only the asked columns are read from the files."""
     schema = schemas.TABLES[table]
@@ -16,7 +30,7 @@ def read_table(spark, root, table, columns=None):
 
 def current_version(spark, root, table):
     """Name of the newest complete version of a replaced table, or None."""
-    commits = spark.read.schema(COMMIT_SCHEMA).parquet(f"{root}/{table}/{COMMITS}")
+    commits = stored_files(spark, f"{root}/{table}/{COMMITS}", COMMIT_SCHEMA)
     newest = F.max_by("version", F.struct("committed", "version"))
     return commits.agg(newest.alias("v")).first()["v"]
 

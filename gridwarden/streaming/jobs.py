@@ -7,7 +7,6 @@ or limited to unseen keys. The offsets live in the query's checkpoint, so a rest
 
 import time
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from gridwarden.operators import correlate, ingest
@@ -15,13 +14,13 @@ from gridwarden.session import scratch
 from gridwarden.sinks import append_new, append_once, to_table
 from gridwarden.sources.logs import read_logs, split_rejects
 from gridwarden.sources.tables import (
-    COMMIT_SCHEMA, COMMITS, current_version, read_snapshot, read_table,
+    COMMIT_SCHEMA, COMMITS, current_version, read_snapshot, read_table, stored_files,
 )
 
 POLL = "3 seconds"
 
 
-def _start(stream, each_batch, checkpoint, trigger):
+def start_batches(stream, each_batch, checkpoint, trigger):
     writer = stream.writeStream.foreachBatch(each_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": POLL})).start()
 
@@ -30,7 +29,7 @@ def _logs(spark, path, kind, files_per_trigger):
     return read_logs(spark, path, kind, streaming=True, files_per_trigger=files_per_trigger)
 
 
-def _producer(spark, checkpoint):
+def producer(spark, checkpoint):
     """The id that the stream keeps in its checkpoint: a restart goes on under it, a stream
     with a new checkpoint is another producer."""
     return spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
@@ -45,17 +44,17 @@ def _keep_rejects(rejects, root, kind, batch_id, producer):
 def _log_job(spark, path, kind, valid, tables, root, checkpoint, trigger, files=None):
     """Append what ``tables(good rows)`` gives, {table: rows}, once per micro-batch."""
     def each_batch(batch, batch_id):
-        producer = _producer(spark, checkpoint)
+        run = producer(spark, checkpoint)
         batch = batch.persist()  # read once for all tables and the rejects
         try:
             good, rejects = split_rejects(batch, valid)
             for table, rows in tables(good).items():
-                append_once(rows, root, table, batch_id, producer)
-            _keep_rejects(rejects, root, kind, batch_id, producer)
+                append_once(rows, root, table, batch_id, run)
+            _keep_rejects(rejects, root, kind, batch_id, run)
         finally:
             batch.unpersist()
 
-    return _start(_logs(spark, path, kind, files), each_batch, checkpoint, trigger)
+    return start_batches(_logs(spark, path, kind, files), each_batch, checkpoint, trigger)
 
 
 def stream_alerts(spark, path, root, checkpoint, trigger=None, files_per_trigger=None):
@@ -150,15 +149,12 @@ def stream_matches(new_rows, all_rows, root, reference, match, table, checkpoint
             spark.createDataFrame([(version, float(clock()))], COMMIT_SCHEMA).coalesce(
                 1).write.mode("append").parquet(done)
 
-    return _start(new_rows, each_batch, checkpoint, trigger or {"processingTime": "30 seconds"})
+    return start_batches(new_rows, each_batch, checkpoint, trigger or {"processingTime": "30 seconds"})
 
 
 def _last_matched(spark, path):
-    try:
-        commits = spark.read.schema(COMMIT_SCHEMA).parquet(path)
-        return commits.agg(F.max_by("version", "committed").alias("v")).first()["v"]
-    except AnalysisException:  # nothing matched yet
-        return None
+    commits = stored_files(spark, path, COMMIT_SCHEMA)
+    return commits.agg(F.max_by("version", "committed").alias("v")).first()["v"]
 
 
 def software_matcher(cves, encoder, run_ts):

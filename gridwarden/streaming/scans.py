@@ -2,76 +2,129 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from gridwarden.functions import constants as K
 from gridwarden.functions.times import epoch_micros, event_time
-from gridwarden.operators.detect import MICROS, _scan_rows
+from gridwarden.operators.detect import MICROS, _floor, _scan_rows
 
 _OUT = "src string, us bigint, dst string, port int, start bigint"
-_STATE = (
-    "start bigint, seen array<string>, us array<bigint>, port array<int>, "
-    "proto array<string>, dst array<string>")
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keyed_state(spark):
+    """Streams started from now on keep their state in RocksDB, which state per key and timers
+    need; a stream with a checkpoint stays with what it has."""
+    if "RocksDB" not in spark.conf.get(_PROVIDER, ""):
+        spark.conf.set(_PROVIDER, _ROCKSDB)
 
 
 def detect_scans_stream(conn, threshold=K.SCAN_PORTS, seconds=K.SCAN_SECONDS, refire=False,
                         watermark="10 minutes"):
     """``detect_scans`` for a stream of connections.
 
-    Rows wait until the watermark has passed them and are then taken in time order, so the
-    result does not depend on arrival. A source's state is the open window's start, at most
-    ``threshold`` + 1 ports, and the rows still waiting; it is dropped when the window is
-    over. A connection is logged when it ends but timed when it starts, so the watermark
-    should exceed the longest connection of interest.
+    A connection is logged when it ends but timed when it starts, so the watermark should
+    exceed the longest connection of interest. Rows wait until the watermark has passed the end
+    of their time slot, which is as long as a window, and a source's slots are then taken in
+    time order, so the result does not depend on arrival. What waits lies in the state store,
+    packed per source, slot and micro-batch, and a task holds one slot of one source at a time;
+    of the open window it keeps the start and at most ``threshold`` + 1 ports. A timer wakes
+    each slot, and one at the window's end drops what is left.
+
+    Connections of a source with the same time and port (``refire``: and protocol) wait as one
+    row per micro-batch, with their number and the least of the other hosts.
     """
+    keyed_state(conn.sparkSession)
     events = conn.select(
         F.col("orig_h").alias("src"), F.col("resp_h").alias("dst"),
         F.col("resp_p").alias("port"), F.coalesce("proto", F.lit("")).alias("proto"),
         epoch_micros(F.col("ts")).alias("us"), event_time(F.col("ts")).alias("event_time"),
-    ).where("src IS NOT NULL AND us IS NOT NULL")
-    hits = events.withWatermark("event_time", watermark).groupBy("src").applyInPandasWithState(
-        _tracker(threshold, seconds * MICROS, refire), _OUT, _STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
+    ).where("src IS NOT NULL AND us IS NOT NULL").withWatermark("event_time", watermark)
+    hits = events.withColumn("slot", _floor("us", seconds * MICROS)).groupBy(
+        "src").transformWithStateInPandas(
+        ScanTracker(threshold, seconds * MICROS, refire), _OUT, "Append", "EventTime")
     message = K.SCAN_MESSAGE_SENSOR if refire else K.SCAN_MESSAGE_AGENT
     return _scan_rows(hits, threshold, message, agent=not refire)
 
 
-def _tracker(threshold, width, refire):
-    names = ["us", "port", "proto", "dst"]
-
-    def track(key, frames, state):
-        start, seen, waiting = None, set(), []
-        if state.exists:
-            start, known, *columns = state.get
-            seen = set(known)
-            waiting = [pd.DataFrame(dict(zip(names, columns)))]
-        rows = pd.concat(waiting + [f[names] for f in frames], ignore_index=True)
-        rows = rows.sort_values(["us", "port", "proto", "dst"], kind="stable")
-        now = state.getCurrentWatermarkMs() * 1000
-        due, rows = rows[rows["us"] < now], rows[rows["us"] >= now]
-        port = due["port"].astype(str)
-        start, seen, fired = _advance(
-            due["us"].to_numpy(np.int64),
-            (port + "/" + due["proto"] if refire else port).to_numpy(object),
-            start, seen, threshold, width, refire)
-        if len(rows) == 0 and (start is None or start + width < now):
-            state.remove()
-        else:
-            state.update((start, sorted(seen), *[rows[c].tolist() for c in names]))
-            wake = rows["us"].min() if len(rows) else start + width
-            state.setTimeoutTimestamp(max(int(wake) // 1000 + 1, now // 1000 + 1))
-        if fired:
-            at, starts = zip(*fired)
-            hit = due.iloc[list(at)]
-            yield pd.DataFrame({
-                "src": key[0], "us": hit["us"].to_numpy(), "dst": hit["dst"].to_numpy(),
-                "port": hit["port"].to_numpy(np.int32), "start": starts})
-
-    return track
-
-
-def _advance(us, keys, start, seen, threshold, width, refire):
+class ScanTracker(StatefulProcessor):
+    """The scans of one source after another; see ``detect_scans_stream``."""
+
+    def __init__(self, threshold, width, refire):
+        self.threshold, self.width, self.refire = threshold, width, refire
+        self.same = ["us", "port", "proto"] if refire else ["us", "port"]
+
+    def init(self, handle):
+        self.handle = handle
+        self.open = handle.getValueState("open", "start bigint, seen array<string>")
+        self.parts = handle.getMapState("parts", "slot bigint", "n bigint")
+        self.waiting = handle.getMapState("waiting", "slot bigint, part bigint", "rows binary")
+
+    def close(self):
+        pass
+
+    def handleInputRows(self, key, rows, timerValues):
+        for pdf in rows:
+            for slot, part in pdf.groupby("slot"):
+                self._keep(int(slot), part)
+        yield from ()
+
+    def _keep(self, slot, rows):
+        packed = rows.groupby(self.same, as_index=False).agg(dst=("dst", "min"), n=("us", "size"))
+        table = pa.Table.from_pandas(packed, preserve_index=False)
+        with pa.BufferOutputStream() as out:
+            with pa.ipc.new_stream(out, table.schema) as writer:
+                writer.write_table(table)
+            rows = out.getvalue().to_pybytes()
+        part, = self.parts.getValue((slot,)) or (0,)
+        self.waiting.updateValue((slot, part), (rows,))
+        self.parts.updateValue((slot,), (part + 1,))
+        if not part:
+            self._wake(slot)
+
+    def _wake(self, slot):
+        self.handle.registerTimer((slot + 1) * self.width // 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        start, seen = self.open.get() if self.open.exists() else (None, [])
+        parts = self.parts.getValue((now // self.width - 1,))
+        if parts:
+            rows = self._take(now // self.width - 1, *parts)
+            port = rows["port"].astype(str)
+            start, seen, fired = advance(
+                rows["us"].to_numpy(np.int64),
+                (port + "/" + rows["proto"] if self.refire else port).to_numpy(object),
+                start, set(seen), self.threshold, self.width, self.refire)
+            if fired:
+                at, starts = zip(*fired)
+                hit = rows.iloc[list(at)]
+                found = pd.DataFrame({
+                    "src": key[0], "us": hit["us"].to_numpy(), "dst": hit["dst"].to_numpy(),
+                    "port": hit["port"].to_numpy(np.int32), "start": starts})
+                yield found.loc[found.index.repeat(hit["n"])] if self.refire else found
+        if start is not None and start + self.width < now:
+            self.open.clear()
+        elif parts:
+            self.open.update((start, sorted(seen)))
+            self._wake((start + self.width) // self.width)
+
+    def _take(self, slot, parts):
+        """The slot's rows in order, out of the store."""
+        tables = []
+        for part in range(parts):
+            with pa.ipc.open_stream(self.waiting.getValue((slot, part))[0]) as reader:
+                tables.append(reader.read_all())
+            self.waiting.removeKey((slot, part))
+        self.parts.removeKey((slot,))
+        return pa.concat_tables(tables).to_pandas().sort_values(
+            [*self.same, "dst"], kind="stable", ignore_index=True)
+
+
+def advance(us, keys, start, seen, threshold, width, refire):
     """Take sorted events into the open window; (row, window start) of each that fires."""
     fired, at = [], 0
     while at < len(us):

@@ -1,3 +1,4 @@
+import json
 import random
 
 import numpy as np
@@ -6,6 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from gridwarden.operators import correlate, fuzzy, vectors
+from gridwarden.sources import flatten_nvd, flatten_stix, load_nvd, load_stix
 
 CVE = "pos long, cve_id string, keyword string, description string, cvss_score double"
 SOFTWARE = "id string, ts double, host string, software_type string, name string, " \
@@ -179,6 +181,48 @@ def test_match_precedence(spark):
     assert len(keyed) == len(set(keyed))
 
 
+def test_pages_give_positions(spark, tmp_path):
+    def page(*items):
+        return {"vulnerabilities": [{"cve": {"id": i, "descriptions": [
+            {"lang": "en", "value": text}], "metrics": {}}} for i, text in items]}
+
+    pages = {"keyword=b": [page(("C1", "late"), ("C2", "x"))],
+             "keyword=a": [page(("C1", "early"), ("C3", "")), {"vulnerabilities": None}, page(),
+                           page(("C4", "y"))]}
+    for lines in (False, True):
+        for folder, found in pages.items():
+            path = tmp_path / str(lines) / folder
+            path.mkdir(parents=True)
+            if lines:
+                (path / "all.json").write_text("".join(json.dumps(p) + "\n" for p in found))
+            else:
+                for i, p in enumerate(found):
+                    (path / f"{i}.json").write_text(json.dumps(p, indent=1))
+        listed = flatten_nvd(
+            load_nvd(spark, str(tmp_path / str(lines)), lines), F.col("keyword"))
+        assert rows(listed, "pos", "keyword", "cve_id", "description") == [
+            (0, "a", "C1", "early"), (1, "a", "C3", ""), (2, "a", "C4", "y"),
+            (3, "b", "C1", "late"), (4, "b", "C2", "x")]
+        reference = correlate.build_cve_reference(listed, vectors.hashing_encoder(8))
+        assert rows(reference, "cve_id", "description", "keyword") == [
+            ("C1", "late", "b"), ("C2", "x", "b"), ("C4", "y", "a")]
+
+
+def test_bundles_give_positions(spark, tmp_path):
+    def pattern(i, name, **more):
+        return {"type": "attack-pattern", "name": name, "description": name, "external_references": [
+            {"source_name": "mitre-attack", "external_id": i}], **more}
+
+    for i, objects in enumerate([[pattern("T1", "a"), {"type": "malware"}, pattern("T2", "b")],
+                                 [pattern("T1", "c"), pattern("T3", "d", revoked=True)]]):
+        (tmp_path / f"{i}.json").write_text(json.dumps({"objects": objects}))
+    listed = flatten_stix(load_stix(spark, str(tmp_path)))
+    assert rows(listed, "pos", "technique_id", "name") == [
+        (0, "T1", "a"), (2, "T2", "b"), (3, "T1", "c")]
+    reference = correlate.build_technique_reference(listed, vectors.hashing_encoder(8))
+    assert rows(reference, "technique_id", "name") == [("T1", "c"), ("T2", "b")]
+
+
 def test_no_back_fill_beyond_the_nearest(spark):
     reference = spark.createDataFrame([
         ("A", "a", [1.0, 0.0], "", 0.0), ("B", "b", [1.0, 0.1], "", 0.0),

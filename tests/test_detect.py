@@ -113,6 +113,75 @@ def test_stream_equals_batch(spark, tmp_path):
                 F.round(F.col("window_start") - BASE, 3), "dst_h", "zone")) == want
 
 
+class _Held:
+    """A state variable of one key, as a streaming processor sees it."""
+
+    def __init__(self):
+        self.rows = {}
+
+    def getValue(self, key):
+        return self.rows.get(key)
+
+    def updateValue(self, key, value):
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        del self.rows[key]
+
+    def exists(self):
+        return None in self.rows
+
+    def get(self):
+        return self.rows[None]
+
+    def update(self, value):
+        self.rows[None] = value
+
+    def clear(self):
+        del self.rows[None]
+
+
+def test_state_of_a_hot_source_is_bounded_by_ports_and_empty_at_the_end():
+    import pandas as pd
+    from gridwarden.streaming.scans import ScanTracker
+
+    width, timers, held = 60_000_000, set(), {}
+
+    class Handle:
+        registerTimer = staticmethod(timers.add)
+
+        def getValueState(self, name, schema):
+            return held.setdefault(name, _Held())
+
+        def getMapState(self, name, key, value):
+            return held.setdefault(name, _Held())
+
+    class Due:
+        def __init__(self, at):
+            self.at = at
+
+        def getExpiryTimeInMs(self):
+            return self.at
+
+    tracker, taken = ScanTracker(15, width, True), []
+    tracker.init(Handle())
+    take = tracker._take
+    tracker._take = lambda slot, parts: taken.append(rows := take(slot, parts)) or rows
+    rng = random.Random(8)
+    events = [(rng.randrange(1200 * 1_000_000), rng.randrange(3000)) for _ in range(30_000)]
+    for at in range(0, len(events), 1000):
+        us, port = zip(*events[at:at + 1000])
+        frame = pd.DataFrame({"us": us, "port": port, "proto": "tcp", "dst": "d"})
+        list(tracker.handleInputRows(("s",), [frame.assign(slot=frame["us"] // width)], None))
+    most = 0
+    while timers:
+        timers.remove(due := min(timers))
+        list(tracker.handleExpiredTimer(("s",), None, Due(due)))
+        most = max(most, len(held["open"].get()[1]) if held["open"].exists() else 0)
+    assert len(taken) == 20 and max(len(t) for t in taken) < 2000  # one slot at a time
+    assert most == 16 and not any(h.rows for h in held.values())
+
+
 def test_modbus_writes(spark):
     log = spark.createDataFrame(
         [(1.0, "a", "b", "WRITE_SINGLE_COIL", True, 7), (2.0, "a", "b", "READ_COILS", True, 7),

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import pytest
 from conftest import rows
@@ -143,3 +144,59 @@ def test_matching_takes_all_rows_again_after_a_new_reference(spark, tmp_path):
     three = run(second)
     assert ("h|openssh|C2", "fuzzy") in three  # an old row gained a match
     assert len(three) == len({k for k, _ in three}) and set(two) <= set(three)
+
+
+def test_matches_follow_software_and_list(spark, tmp_path, monkeypatch):
+    """After every batch the matches are those of all software and the newest list; only what
+    is new is scored."""
+    from gridwarden.streaming import matching
+    root, checkpoint = str(tmp_path / "store"), str(tmp_path / "cp")
+    encoder, rng = vectors.hashing_encoder(16), random.Random(5)
+    words = ["openssh", "nginx", "zlib", "curl", "bash", "perl", "remote", "flaw", "login"]
+    scored = []
+    scores = matching.fuzzy_scores
+
+    def counted(texts, keywords, threshold):
+        scored.append((texts.count(), keywords.count()))
+        return scores(texts, keywords, threshold)
+
+    monkeypatch.setattr(matching, "fuzzy_scores", counted)
+    texts = ["{} {}".format(*rng.sample(words, 2)) for _ in range(12)]
+    listed = [(i, f"C{i % 8}", rng.choice(words), rng.choice(texts), float(i)) for i in range(12)]
+    names = "pos long, cve_id string, keyword string, description string, cvss_score double"
+    seen = []
+    for turn in range(5):
+        if turn in (1, 3, 4):  # some go, some change, some come; positions move
+            listed = [x for x in listed if rng.random() < 0.7]
+            listed = [(p, c, k if rng.random() < 0.8 else rng.choice(words),
+                       d if rng.random() < 0.8 else rng.choice(texts) + " again", v)
+                      for p, c, k, d, v in listed]
+            listed += [(0, f"C{rng.randrange(12)}", rng.choice(words), rng.choice(texts), 2.0)
+                       for _ in range(3)]
+            rng.shuffle(listed)
+            listed = [(i, *x[1:]) for i, x in enumerate(listed)]
+        cves = spark.createDataFrame(listed, names)
+        if turn != 2:
+            sinks.replace(cves, root, "cve_list", float(turn))
+        more = [(f"{turn}-{i}" if turn < 4 else f"0-{i}-", 1.0, f"h{rng.randrange(3)}", "t",
+                 rng.choice(words), rng.choice(["1", "2", "flaw", ""])) for i in range(6)]
+        seen += more
+        sinks.append(spark.createDataFrame(more, schemas.SOFTWARE), root, "software")
+        stream = spark.readStream.schema(schemas.SOFTWARE).parquet(f"{root}/software")
+        before = leftovers(spark)
+        scored.clear()
+        streaming.stream_software_matches(
+            stream, root, encoder, "t", checkpoint, ONCE).awaitTermination()
+        assert leftovers(spark) == before
+        software = spark.createDataFrame(seen, schemas.SOFTWARE)
+        want = correlate.match_software(
+            software, cves, correlate.build_cve_reference(cves, encoder), encoder, "t")
+        assert rows(streaming.read_matches(spark, root, checkpoint), *want.columns) == rows(want)
+        if turn == 2:
+            assert len(scored) == 1  # the list is as it was: known texts are left alone
+    # a replayed batch changes nothing
+    path = matching._path(spark, root, checkpoint)
+    got = rows(streaming.read_matches(spark, root, checkpoint))
+    batch = spark.createDataFrame(more, schemas.SOFTWARE)
+    matching.update_matches(batch, 4, root, path, encoder, "t")
+    assert rows(streaming.read_matches(spark, root, checkpoint)) == got
