@@ -1,39 +1,65 @@
 """Text embedding and exact nearest neighbours by cosine distance."""
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.feature import CountVectorizerModel, IDF, Normalizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F, types as T, Window as W
 
 from gridwarden.functions.scores import RANK_DIGITS
 from gridwarden.operators.blocks import cell_join
 from gridwarden.session import materialize
+from gridwarden.sources.tables import stored_files
 
-BROADCAST_VALUES = 8_000_000  # 64 MB of doubles
-CELLS = 256
 LEFT_ROWS, RIGHT_ROWS = 4096, 8192
 ROWS_AT_ONCE = 512
 
 
 # -- embedding ----------------------------------------------------------------------
 
+def _slots(text, dim):
+    """The slot of each word (letters and digits of any script), by its MD5 digest."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.pmod(
+        F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int"), F.lit(dim)).cast("string"))
+
+
+def _counted(texts, dim):
+    """texts with ``counts``, a sparse vector of how many words fall into each slot."""
+    slots = texts.withColumn("_slots", _slots(F.col("text"), dim))
+    return CountVectorizerModel.from_vocabulary(
+        [str(i) for i in range(dim)], "_slots", "counts").transform(slots).drop("_slots")
+
+
 def hashing_encoder(dim=64):
-    """Feature hashing: each word (letters and digits of any script) counts in the slot its
-    MD5 digest picks.
+    """Feature hashing: each word counts in the slot its MD5 digest picks.
 
-    Needs no model and no Python. Returns a Column -> Column function.
+    Needs no model and no Python; the words of a text are counted in one pass over them.
     """
-    def encode(text):
-        words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-        slots = F.transform(words, lambda w: F.pmod(
-            F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int"), F.lit(dim)))
-        # Sorted together with one mark per slot, the words of a slot lie between its mark
-        # and the next one. Bound to a lambda variable, so that it is done once per text.
-        marked = F.sort_array(F.concat(slots, F.sequence(F.lit(0), F.lit(dim))))
-        return F.get(F.transform(F.array(marked), lambda found: F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda i: (F.array_position(found, i + 1) - F.array_position(found, i) - 1)
-            .cast("float"))), F.lit(0))
+    def encode(texts):
+        return _counted(texts, dim).select(
+            "text", vector_to_array("counts", "float32").alias("embedding"))
+    encode.on_frame = True
+    return encode
+
+
+def weighted_encoder(corpus, dim=64):
+    """Feature hashing with slots weighted by how few texts of the corpus fall into them,
+    ln((texts + 1) / (texts with the slot + 1)), and vectors of length one.
+
+    One pass over the corpus (``text``) fits the weights; a text of no weight stays zero.
+    """
+    idf = IDF(inputCol="counts", outputCol="weighted").fit(
+        _counted(corpus.select("text").where("text IS NOT NULL"), dim))
+    normal = Normalizer(inputCol="weighted", outputCol="unit", p=2.0)
+
+    def encode(texts):
+        return normal.transform(idf.transform(_counted(texts, dim))).select(
+            "text", vector_to_array("unit", "float32").alias("embedding"))
+    encode.on_frame = True
     return encode
 
 
@@ -68,27 +94,135 @@ def embed(df, col, encoder, name="embedding"):
         vectors.select(F.col("text").alias(col), F.col("embedding").alias(name)), col, "left")
 
 
+_VECTORS = "text_id string, embedding array<float>"
+
+
+def embed_cached(texts, encoder, path):
+    """``embed_texts`` with the vectors kept under ``path`` by the texts' content: only texts
+    that no earlier call has encoded go to the encoder. One encoder per path."""
+    spark = texts.sparkSession
+    distinct = texts.select("text").where("text IS NOT NULL").distinct().withColumn(
+        "text_id", F.sha2("text", 256))
+    held = stored_files(spark, path, _VECTORS).select("text_id")
+    new = embed_texts(distinct.join(held, "text_id", "left_anti"), encoder)
+    new.select(F.sha2("text", 256).alias("text_id"), "embedding").write.parquet(
+        f"{path}/run={uuid.uuid4().hex}")
+    # Calls at the same time may have encoded the same text.
+    vectors = stored_files(spark, path, _VECTORS).dropDuplicates(["text_id"])
+    return distinct.join(vectors, "text_id").select("text", "embedding")
+
+
 # -- nearest neighbours -------------------------------------------------------------
 
-def nearest(queries, refs, k, broadcast_values=BROADCAST_VALUES, cells=CELLS,
-            left_rows=LEFT_ROWS, right_rows=RIGHT_ROWS):
+def nearest(queries, refs, k, cells=None, left_rows=LEFT_ROWS, right_rows=RIGHT_ROWS):
     """The ``k`` nearest references of each query, exactly.
 
     Both inputs are (id, vec). Distances are rounded to RANK_DIGITS before ranking, and
     equal ones are ordered by reference id. A zero or missing vector has no direction and
     takes no part. Result: query_id, ref_id, distance, rank.
 
-    References whose vectors fit in ``broadcast_values`` numbers go to every task. More
-    than that are grouped around pivots, and a query only meets the groups that can hold
-    one of its neighbours.
+    References are grouped around pivots, whose number grows with the root of theirs
+    (``cells`` sets it). On unit vectors the Euclidean distance e and the cosine distance c
+    agree in order (e*e = 2c), and e obeys the triangle inequality: with d the distance from a
+    query to a pivot and [low, high] those of the pivot's references to it, none of them is
+    nearer than max(d-high, low-d). A query visits the cells that start nearest first; how far
+    its k-th reference is then decides which others can still hold a nearer one, and it visits
+    these. Only k rows per query leave a cell, and crowded cells are cut on both sides.
     """
+    spark = queries.sparkSession
     schema = _result_schema(queries, refs)
-    values = refs.agg(F.sum(F.size("vec")).alias("n")).first()["n"]
-    if values is None:
-        return queries.sparkSession.createDataFrame([], schema)
-    if values <= broadcast_values:
-        return _nearest_broadcast(queries, refs, k, schema)
-    return _nearest_by_cell(queries, refs, k, schema, cells, left_rows, right_rows)
+    ref_type = refs.schema["id"].dataType.simpleString()
+    query_type = queries.schema["id"].dataType.simpleString()
+    whole = refs.select("id", "vec").where(F.exists("vec", lambda x: x != 0))
+    n = whole.count()
+    if not n:
+        return spark.createDataFrame([], schema)
+    cells = cells or max(1, round(n ** 0.5 / 32))
+    pivots = whole.orderBy(F.xxhash64("id"), "id").limit(cells)
+    shared = spark.sparkContext.broadcast(_units(pivots.toPandas())[1])
+
+    def to_pivots(units):
+        cos = np.clip(units @ shared.value.T, -1.0, 1.0)
+        return np.sqrt(2.0 - 2.0 * cos)
+
+    def assign(batches):
+        for pdf in batches:
+            ids, units = _units(pdf)
+            if len(ids):
+                dist = to_pivots(units)
+                cell = dist.argmin(axis=1)
+                yield pd.DataFrame({
+                    "id": ids, "vec": list(units), "cell": cell.astype(np.int32),
+                    "far": dist[np.arange(len(ids)), cell]})
+
+    # Unit vectors in double precision from here on.
+    placed = whole.mapInPandas(
+        assign, f"id {ref_type}, vec array<double>, cell int, far double")
+    if cells > 1:
+        placed = materialize(placed, "cells")
+        # One row per pivot.
+        stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("far").alias("low"),
+                                           F.max("far").alias("high")).toPandas()
+        cell_ids, held, low, high = (
+            stats[c].to_numpy() for c in ("cell", "n", "low", "high"))
+    else:
+        cell_ids, held, low, high = (np.array([x]) for x in (0, n, 0.0, 2.0))
+    slack = 1e-6  # far above the rounding of the distances
+
+    def visits(batches, later):
+        for pdf in batches:
+            at, units = _units(pdf.assign(id=range(len(pdf))))
+            if not len(at):
+                continue
+            ids, d = pdf["id"].to_numpy()[at], to_pivots(units)[:, cell_ids]
+            starts = np.maximum(np.maximum(d - high, low - d), 0.0)
+            order = np.lexsort((d, starts), axis=1)
+            rows = np.arange(len(ids))[:, None]
+            # the nearest cells that hold k references together come first
+            before = np.cumsum(held[order], axis=1) - held[order]
+            first = np.empty(order.shape, bool)
+            first[rows, order] = before < k
+            if later:
+                far = pdf["far"].to_numpy(float)[at]
+                reach = np.where(np.isnan(far), 9.0, np.sqrt(2.0 * np.maximum(far, 0.0)))
+                wanted = ~first & (starts <= reach[:, None] + slack)
+            else:
+                wanted = first
+            row, cell = np.nonzero(wanted)
+            if len(row):
+                yield pd.DataFrame({
+                    "id": ids[row], "vec": list(units[row]),
+                    "cell": cell_ids[cell].astype(np.int32)})
+
+    def piece(left, right):
+        query_ids, q = _table_units(left)
+        ref_ids, r = _table_units(right.sort_by("id"))
+        if not len(query_ids) or not len(ref_ids):
+            return _empty(left, right)
+        row, ref, value, rank = _top_k(q, r, k)
+        return pa.table({
+            "query_id": pa.array(query_ids[row], left.schema.field("id").type),
+            "ref_id": pa.array(ref_ids[ref], right.schema.field("id").type),
+            "distance": value, "rank": pa.array(rank.astype(np.int32))})
+
+    def met(asked, later):
+        found = asked.mapInPandas(lambda batches: visits(batches, later),
+                                  f"id {query_type}, vec array<double>, cell int")
+        return cell_join(found, placed.drop("far"), "id", "id", left_rows, right_rows,
+                         piece, schema)
+
+    def best(found):
+        order = W.partitionBy("query_id").orderBy("distance", "ref_id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    queries = queries.select("id", "vec")
+    found = best(met(queries, False))
+    if cells == 1:
+        return found
+    found = materialize(found, "neighbours")
+    reached = found.where(F.col("rank") == k).select(
+        F.col("query_id").alias("id"), F.col("distance").alias("far"))
+    return best(found.unionByName(met(queries.join(reached, "id", "left"), True)))
 
 
 def _result_schema(queries, refs):
@@ -130,100 +264,6 @@ def _top_k(query_units, ref_units, k):
     return [np.concatenate(p) for p in zip(*parts)]
 
 
-def _nearest_broadcast(queries, refs, k, schema):
-    rows = refs.select("id", "vec").orderBy("id").toPandas()  # size checked by the caller
-    shared = queries.sparkSession.sparkContext.broadcast(_units(rows))
-
-    def run(batches):
-        ref_ids, ref_units = shared.value
-        for pdf in batches:
-            ids, units = _units(pdf)
-            if len(ids) and len(ref_ids):
-                row, ref, value, rank = _top_k(units, ref_units, k)
-                yield pd.DataFrame({
-                    "query_id": ids[row], "ref_id": ref_ids[ref],
-                    "distance": value, "rank": rank.astype(np.int32)})
-
-    return queries.select("id", "vec").mapInPandas(run, schema)
-
-
-def _nearest_by_cell(queries, refs, k, schema, cells, left_rows, right_rows):
-    """Pivot-based exact neighbour join.
-
-    On unit vectors the Euclidean distance e and the cosine distance c agree in order
-    (e*e = 2c), and e obeys the triangle inequality. Each reference belongs to its nearest
-    pivot. With d the distance from a query to a pivot and [low, high] the distances of
-    that pivot's references to it, none of them is nearer than max(d-high, low-d), and all
-    are within d+high; the cells closest by d+high that hold k references together bound
-    the query's k-th distance, and cells that start beyond the bound are not visited.
-    """
-    spark = queries.sparkSession
-    whole = F.exists("vec", lambda x: x != 0)
-    pivots = refs.select("id", "vec").where(whole).orderBy(F.xxhash64("id"), "id").limit(cells)
-    shared = spark.sparkContext.broadcast(_units(pivots.toPandas())[1])
-    ref_type = refs.schema["id"].dataType.simpleString()
-    query_type = queries.schema["id"].dataType.simpleString()
-
-    def to_pivots(units):
-        cos = np.clip(units @ shared.value.T, -1.0, 1.0)
-        return np.sqrt(2.0 - 2.0 * cos)
-
-    def assign(batches):
-        for pdf in batches:
-            ids, units = _units(pdf)
-            if len(ids):
-                dist = to_pivots(units)
-                cell = dist.argmin(axis=1)
-                yield pd.DataFrame({
-                    "id": ids, "vec": list(units), "cell": cell.astype(np.int32),
-                    "far": dist[np.arange(len(ids)), cell]})
-
-    # Unit vectors in double precision from here on.
-    placed = materialize(refs.select("id", "vec").mapInPandas(
-        assign, f"id {ref_type}, vec array<double>, cell int, far double"), "cells")
-    # One row per pivot.
-    stats = placed.groupBy("cell").agg(
-        F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).toPandas()
-    cell_ids, n, low, high = (stats[c].to_numpy() for c in ("cell", "n", "low", "high"))
-    slack = 1e-6  # far above the rounding of the distances
-
-    def visits(batches):
-        for pdf in batches:
-            ids, units = _units(pdf)
-            if not len(ids) or not len(cell_ids):
-                continue
-            d = to_pivots(units)[:, cell_ids]
-            reach = d + high
-            order = np.argsort(reach, axis=1)
-            enough = (np.cumsum(n[order], axis=1) >= k).argmax(axis=1)
-            rows = np.arange(len(ids))
-            bound = reach[rows, order[rows, enough]] if n.sum() >= k else np.full(len(ids), 9.0)
-            nearest_possible = np.maximum(d - high, low - d)
-            row, cell = np.nonzero(nearest_possible <= bound[:, None] + slack)
-            # never empty: the cells that give the bound lie within it
-            yield pd.DataFrame({
-                "id": ids[row], "vec": list(units[row]),
-                "cell": cell_ids[cell].astype(np.int32)})
-
-    asked = materialize(queries.select("id", "vec").mapInPandas(
-        visits, f"id {query_type}, vec array<double>, cell int"), "visits")
-
-    def piece(left, right):
-        query_ids, q = _table_units(left)
-        ref_ids, r = _table_units(right.sort_by("id"))
-        if not len(query_ids) or not len(ref_ids):
-            return _empty(left, right)
-        row, ref, value, rank = _top_k(q, r, k)
-        return pa.table({
-            "query_id": pa.array(query_ids[row], left.schema.field("id").type),
-            "ref_id": pa.array(ref_ids[ref], right.schema.field("id").type),
-            "distance": value, "rank": pa.array(rank.astype(np.int32))})
-
-    found = cell_join(asked, placed.drop("far"), "id", "id", left_rows, right_rows, piece, schema)
-    best = W.partitionBy("query_id").orderBy("distance", "ref_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-
 def _empty(left, right):
     return pa.table({
         "query_id": pa.array([], left.schema.field("id").type),

@@ -46,10 +46,9 @@ def nearest_vector(spark, sf):
 
 @query(_nearest_sql(3))
 def nearest_vectors_by_cell(spark, sf):
-    """The way taken when the references are too many to broadcast."""
+    """The same over many cells, cut into small pieces."""
     refs = A.vectors(spark, sf)
-    return _rounded(vectors.nearest(
-        refs, refs, 3, broadcast_values=0, cells=16, left_rows=128, right_rows=128))
+    return _rounded(vectors.nearest(refs, refs, 3, cells=16, left_rows=128, right_rows=128))
 
 
 @query(f"""SELECT text, {S.vector('text', DIM)} AS embedding
@@ -59,6 +58,35 @@ def embedded_texts(spark, sf):
     return rows.withColumn("embedding", F.col("embedding").cast("array<double>"))
 
 
+@query(f"""WITH slots AS (SELECT text, {S.vector('text', DIM)} AS n FROM benchmark),
+    weights AS (SELECT list(w ORDER BY i) AS ws FROM (SELECT i,
+        ln((count(*) + 1.0::DOUBLE) / (count(*) FILTER (n[i] > 0) + 1)) AS w
+        FROM slots, (SELECT unnest(range(1, {DIM + 1})) AS i) GROUP BY i)),
+    weighted AS (SELECT DISTINCT text, list_transform(range(1, {DIM + 1}), lambda i:
+        n[i] * ws[i]) AS v FROM slots, weights)
+    SELECT text, list_transform(v, lambda x: CASE WHEN list_sum(list_transform(v, lambda y: y * y))
+        > 0 THEN round(x / sqrt(list_sum(list_transform(v, lambda y: y * y))), 5) ELSE 0 END)
+        AS embedding FROM weighted""")
+def weighted_texts(spark, sf):
+    """Slots that few texts fall into weigh more."""
+    texts = A.table(spark, sf, "benchmark")
+    found = vectors.embed_texts(texts, vectors.weighted_encoder(texts, DIM))
+    return found.withColumn("embedding", F.transform(
+        "embedding", lambda x: F.round(x.cast("double"), 5) + F.lit(0.0)))
+
+
+@query(f"""SELECT text, {S.vector('text', DIM)} AS embedding, min(item_id % 2) AS encoded_by
+    FROM benchmark GROUP BY text""")
+def cached_vectors(spark, sf):
+    """Half of the texts, then all: the second call encodes only what the first has not."""
+    path, texts = fresh_path(spark, "vectors"), A.table(spark, sf, "benchmark")
+    vectors.embed_cached(texts.where("item_id % 2 = 0"), ENCODER, path)
+    first = spark.read.parquet(path).select("text_id", F.lit(0).cast("long").alias("encoded_by"))
+    found = vectors.embed_cached(texts, ENCODER, path)
+    return _wide(found.withColumn("text_id", F.sha2("text", 256)).join(
+        first, "text_id", "left").fillna({"encoded_by": 1}).drop("text_id"))
+
+
 # -- reference tables -----------------------------------------------------------------------
 
 _CVE_LISTED = """SELECT p_partkey AS pos, 'CVE-' || (p_partkey % 97) AS cve_id,

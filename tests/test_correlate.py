@@ -113,8 +113,8 @@ def test_neighbours_against_brute_force(spark):
     qf, rf = vec_frame(spark, queries), vec_frame(spark, refs)
     for k in (1, 3):
         want = brute(queries, refs, k)
-        for kw in ({}, {"broadcast_values": 0, "cells": 5, "left_rows": 16, "right_rows": 16},
-                   {"broadcast_values": 0, "cells": 64, "left_rows": 999, "right_rows": 7}):
+        for kw in ({}, {"cells": 5, "left_rows": 16, "right_rows": 16},
+                   {"cells": 64, "left_rows": 999, "right_rows": 7}):
             got = vectors.nearest(qf, rf, k, **kw)
             assert rows(got, "query_id", "ref_id", "rank") == want
 
@@ -122,7 +122,7 @@ def test_neighbours_against_brute_force(spark):
 def test_fewer_references_than_neighbours(spark):
     qf = vec_frame(spark, [[1.0, 0.0], [0.0, 1.0]])
     rf = vec_frame(spark, [[1.0, 1.0], [2.0, 0.0]])
-    for kw in ({}, {"broadcast_values": 0, "cells": 4}):
+    for kw in ({}, {"cells": 4}):
         got = vectors.nearest(qf, rf, 3, **kw)
         assert rows(got, "query_id", "ref_id", "rank") == [
             (0, 0, 2), (0, 1, 1), (1, 0, 1), (1, 1, 2)]
