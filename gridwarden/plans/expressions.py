@@ -202,7 +202,7 @@ _NOTICE = """SELECT {seconds} AS ts, CASE event_type WHEN 'error' THEN
     FROM events"""
 
 
-def write_notices(spark, sf, path):
+def write_notices(spark, sf, path, files=None):
     """Notice log lines of all events: some without a time, some not JSON at all."""
     rows = A.table(spark, sf, "events").select(
         "event_id", A.seconds("ts"),
@@ -221,7 +221,8 @@ def write_notices(spark, sf, path):
     whole = F.to_json(F.struct(timed, *[
         F.col(f"`{c}`") for c in rows.columns if c not in ("ts", "event_id")]))
     line = F.when(F.col("event_id") % 50 == 2, F.concat(F.lit("{broken "), whole)).otherwise(whole)
-    rows.select(line.alias("value")).write.text(path)
+    lines = rows.select(line.alias("value"))
+    (lines.repartition(files) if files else lines).write.text(path)
 
 
 _NOTICE_SQL = _NOTICE.format(seconds=S.seconds("ts"), host=S.host("user_id"))

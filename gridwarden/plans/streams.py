@@ -18,6 +18,8 @@ from gridwarden.session import fresh_path
 from gridwarden.sources import read_table
 
 ONCE = {"availableNow": True}
+#: The first second of the last notice's day.
+LATEST_DAY = f"(SELECT floor(max(ts) / 86400) * 86400 FROM ({NOTICE_ALERTS_SQL}))"
 
 
 def _paths(spark, name):
@@ -33,6 +35,35 @@ def streamed_alerts(spark, sf):
     return read_table(spark, root, "alerts")
 
 
+def _alerts_in_batches(spark, sf):
+    """A store that a stream has filled batch by batch."""
+    logs, root, checkpoint = _paths(spark, "alert-batches")
+    write_notices(spark, sf, logs, files=4)
+    streaming.stream_alerts(
+        spark, logs, root, checkpoint, ONCE, files_per_trigger=1).awaitTermination()
+    return root
+
+
+@query(f"""SELECT *, CASE WHEN ts < {LATEST_DAY} THEN 'merged' END AS part
+    FROM ({NOTICE_ALERTS_SQL})""")
+def merged_alerts(spark, sf):
+    """Streamed alerts, the files of all days but the last one merged."""
+    root = _alerts_in_batches(spark, sf)
+    last = read_table(spark, root, "alerts").agg(F.max("ts")).first()[0]
+    sinks.merge_days(spark, root, "alerts", last)
+    rows = spark.read.parquet(f"{root}/alerts").drop("event_date")
+    return rows.withColumn("part", F.when(F.col("part") == "merged", F.col("part")))
+
+
+@query(f"SELECT * FROM ({NOTICE_ALERTS_SQL}) WHERE ts >= {LATEST_DAY} - 3 * 86400")
+def retained_days(spark, sf):
+    """Streamed alerts of the last three days and the days before these deleted."""
+    root = _alerts_in_batches(spark, sf)
+    last = read_table(spark, root, "alerts").agg(F.max("ts")).first()[0]
+    sinks.drop_days(spark, root, "alerts", 3, last)
+    return read_table(spark, root, "alerts")
+
+
 @query(SOFTWARE_ROWS_SQL)
 def streamed_software(spark, sf):
     logs, root, checkpoint = _paths(spark, "software-stream")

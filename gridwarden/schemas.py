@@ -82,3 +82,10 @@ TABLES = {
     "asset_admin": ASSET_ADMIN, "ip_policies": IP_POLICIES, "agents": AGENTS,
     "agent_connection_stats": AGENT_CONNECTION_STATS,
 }
+
+#: Tables stored by UTC day, and the column (epoch seconds) that gives it.
+DATED = {
+    "alerts": "ts", "software": "ts", "alert_actions": "ts", "asset_observations": "last_seen",
+    "asset_admin": "ts", "ip_policies": "ts", "agents": "last_checkin",
+    "agent_connection_stats": "ts",
+}

@@ -80,6 +80,11 @@ def scratch(spark):
     finally:
         _written.reset(outer)
         for path in paths:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(
-                folder, True)
+            files, folder = filesystem(spark, path)
+            files.delete(folder, True)
+
+
+def filesystem(spark, path):
+    """The file system that holds ``path``, and the path as it takes it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), folder

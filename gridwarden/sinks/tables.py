@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridwarden import schemas
 from gridwarden.functions.times import epoch_micros
+from gridwarden.session import filesystem
 from gridwarden.sources.tables import COMMIT_SCHEMA, COMMITS, stored_files
 
 
@@ -25,13 +26,20 @@ def append(df, root, table):
 
 
 def append_once(df, root, table, batch_id, producer):
-    """Append one micro-batch of a producer; a replayed batch overwrites its own folder.
+    """Append one micro-batch of a producer; a replayed batch overwrites its own folders.
 
     ``producer`` names the run, such as a stream's checkpoint id. All writers of a table use
-    this one layout, and none can touch the rows of another.
+    this one layout, and none can touch the rows of another. Tables with a time are stored by
+    day, with as few files per day as the size of the batch allows.
     """
-    path = f"{root}/{table}/part={producer}.{batch_id}"
-    to_table(df, table).write.mode("overwrite").parquet(path)
+    rows, part = to_table(df, table), f"{producer}.{batch_id}"
+    if table not in schemas.DATED:
+        rows.write.mode("overwrite").parquet(f"{root}/{table}/part={part}")
+        return
+    dated = with_event_date(rows, schemas.DATED[table]).withColumn("part", F.lit(part))
+    dated.hint("rebalance", "event_date").write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("event_date", "part").parquet(
+        f"{root}/{table}")
 
 
 def unseen(df, existing, key="source_key"):
@@ -91,3 +99,89 @@ def drop_expired(spark, table_name, days, as_of):
         specs = ", ".join(f"PARTITION (event_date = DATE'{d}')" for d in expired)
         spark.sql(f"ALTER TABLE {table_name} DROP IF EXISTS {specs}")
     return expired
+
+
+# -- stored days --------------------------------------------------------------------
+
+FILE_BYTES = 128 << 20
+_MERGING, _REPLACED = "_merging", "_replaced"
+
+
+def _days(spark, root, table, before):
+    """(day, bytes, folders) of the stored days before a day."""
+    files, top = filesystem(spark, f"{root}/{table}")
+    for day in files.listStatus(top):
+        name = day.getPath().getName()
+        if name.startswith("event_date=") and name[11:] < before:  # nulls' folder sorts later
+            size = files.getContentSummary(day.getPath())
+            yield name[11:], size.getLength(), len(files.listStatus(day.getPath()))
+
+
+def _utc_day(as_of, days=0):
+    day = datetime.datetime.fromtimestamp(as_of, datetime.timezone.utc).date()
+    return (day - datetime.timedelta(days=days)).isoformat()
+
+
+def merge_days(spark, root, table, as_of, file_bytes=FILE_BYTES):
+    """Merge the small files of all days before that of the epoch second ``as_of``.
+
+    Each such day with more than one folder is written anew, sorted by time and the other
+    columns, in files of about ``file_bytes`` that readers can skip by their least and greatest
+    values, and then put in the place of the old folder. Returns the days.
+
+    For days that nothing is written to any more. A reader that begins between the two moves of
+    a day misses that day, and one that is at work may have to be run again. If the job stops
+    half-way no row is lost: the next call first puts the unfinished day in its place. A stream
+    over the table takes merged files as new ones.
+    """
+    store = f"{root}/{table}"
+    _finish(spark, root, table)
+    days = [(d, size) for d, size, folders in _days(spark, root, table, _utc_day(as_of))
+            if folders > 1]
+    if not days:
+        return []
+    names = [d for d, _ in days]
+    schema = schemas.TABLES[table]
+    time = schemas.DATED[table]
+    order = ["event_date", time, *[c for c in schema.names if c != time]]
+    rows = spark.read.option("basePath", store).schema(f"{schema.toDDL()}, event_date date").parquet(
+        *[f"{store}/event_date={d}" for d in names])
+    count = len(names) + sum(size for _, size in days) // file_bytes
+    rows.select(*schema.names, "event_date", F.lit("merged").alias("part")).repartitionByRange(
+        count, *order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy(
+        "event_date", "part").parquet(f"{root}/{_MERGING}/{table}")
+    _finish(spark, root, table)
+    return sorted(names)
+
+
+def _finish(spark, root, table):
+    """Put merged days in their places. Days are moved only out of a complete merge, and the
+    merged rows of a day stay until its old folder is out of the way."""
+    files, merging = filesystem(spark, f"{root}/{_MERGING}/{table}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    if not files.exists(merging):
+        return
+    if files.exists(path(merging, "_SUCCESS")):
+        replaced = path(f"{root}/{_REPLACED}/{table}")
+        files.mkdirs(replaced)
+        for day in files.listStatus(merging):
+            name = day.getPath().getName()
+            if not name.startswith("event_date="):
+                continue
+            here, old = path(f"{root}/{table}/{name}"), path(replaced, name)
+            if files.exists(here) and not files.exists(old) and not files.rename(here, old):
+                raise OSError(f"cannot move {here}")
+            if not files.rename(day.getPath(), here):
+                raise OSError(f"cannot move {day.getPath()}")
+            files.delete(old, True)
+        files.delete(replaced, True)
+    files.delete(merging, True)
+
+
+def drop_days(spark, root, table, days, as_of):
+    """Delete the stored days older than ``days`` days; returns them."""
+    files, top = filesystem(spark, f"{root}/{table}")
+    expired = sorted(d for d, _, _ in _days(spark, root, table, _utc_day(as_of, days)))
+    for day in expired:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(top, f"event_date={day}"), True)
+    return expired

@@ -22,10 +22,16 @@ def stored_files(spark, path, schema):
         return spark.createDataFrame([], schema)
 
 
-def read_table(spark, root, table, columns=None):
-    """A stored table; only the asked columns are read from the files."""
+def read_table(spark, root, table, columns=None, since=None):
+    """A stored table; only the asked columns are read from the files.
+
+    Of a table stored by day, days before ``since`` (a date) are not read.
+    """
     schema = schemas.TABLES[table]
-    return spark.read.schema(schema).parquet(f"{root}/{table}").select(*columns or schema.names)
+    rows = spark.read.schema(schema).parquet(f"{root}/{table}")
+    if since is not None:
+        rows = rows.where(F.col("event_date") >= F.lit(since))
+    return rows.select(*columns or schema.names)
 
 
 def current_version(spark, root, table):

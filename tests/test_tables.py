@@ -1,4 +1,6 @@
+import datetime
 import json
+from pathlib import Path
 
 import pytest
 from conftest import rows
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridwarden import schemas, session, sinks
 from gridwarden.plans import expressions
+from gridwarden.sinks import tables
 from gridwarden.sinks.tables import with_event_date
 from gridwarden.sources import (
     flatten_nvd, flatten_stix, load_nvd, load_reference, load_reference_lines, load_stix,
@@ -70,6 +73,66 @@ def test_old_days_are_dropped(spark):
     assert sinks.retain(with_event_date(alerts), 7, 11 * day + 5).count() == 8
 
 
+def _stored_files(root, table):
+    return [f for f in Path(root, table).rglob("*.parquet")]
+
+
+def test_many_small_batches_are_merged(spark, tmp_path):
+    root, day = str(tmp_path), 86400.0
+    for batch in range(24):  # each over two of five days
+        rows_of = spark.createDataFrame(
+            [(f"{batch}-{i}", (batch + i) % 5 * day + 50.0 * i, "n", "m", "s", "d", "high", "IT", "z")
+             for i in range(2)] + ([("none", None, "n", "m", "s", "d", "high", "IT", "z")]
+                                   if batch == 3 else []), schemas.ALERTS).coalesce(1)
+        sinks.append_once(rows_of, root, "alerts", batch, "one")
+    want = rows(read_table(spark, root, "alerts"))
+    assert len(want) == 49 and len(_stored_files(root, "alerts")) == 49
+    days = [f"1970-01-0{i}" for i in range(1, 5)]
+    assert sinks.merge_days(spark, root, "alerts", 4 * day + 9) == days  # the last day is open
+    assert rows(read_table(spark, root, "alerts")) == want
+    files = _stored_files(root, "alerts")
+    assert sum("part=merged" in str(f) for f in files) <= 8
+    assert sum("part=merged" not in str(f) for f in files) == 10
+    assert sinks.merge_days(spark, root, "alerts", 4 * day + 9) == []
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) in (
+        ["alerts"], ["_merging", "_replaced", "alerts"])
+    late = spark.createDataFrame(
+        [("late", 3.0, "n", "m", "s", "d", "high", "IT", "z")], schemas.ALERTS)
+    sinks.append(late, root, "alerts")
+    assert sinks.merge_days(spark, root, "alerts", 4 * day + 9) == days[:1]
+    assert len(rows(read_table(spark, root, "alerts"))) == 50
+    recent = read_table(spark, root, "alerts", since=datetime.date(1970, 1, 3))
+    assert recent.agg(F.min("ts")).first()[0] >= 2 * day
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "event_date" in plan
+    assert sinks.drop_days(spark, root, "alerts", 2, 4 * day) == days[:2]
+    assert read_table(spark, root, "alerts").where("ts < 172800").count() == 0
+    assert read_table(spark, root, "alerts").where("ts IS NULL").count() == 1
+
+
+def test_an_unfinished_merge_is_finished(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    def alerts(*ids):
+        return spark.createDataFrame(
+            [(i, 5.0, "n", "m", "s", "d", "high", "IT", "z") for i in ids], schemas.ALERTS)
+    for batch, name in enumerate("ab"):
+        sinks.append_once(alerts(name), root, "alerts", batch, "one")
+    finish = tables._finish
+    monkeypatch.setattr(tables, "_finish", lambda *a: None)
+    sinks.merge_days(spark, root, "alerts", 1e6)
+    # the job died between the two moves of the day
+    (tmp_path / "_replaced" / "alerts").mkdir(parents=True)
+    (tmp_path / "alerts" / "event_date=1970-01-01").rename(
+        tmp_path / "_replaced" / "alerts" / "event_date=1970-01-01")
+    monkeypatch.setattr(tables, "_finish", finish)
+    assert sinks.merge_days(spark, root, "alerts", 1e6) == []
+    assert rows(read_table(spark, root, "alerts", ["id"])) == [("a",), ("b",)]
+    # a merge that was never completed is dropped
+    (tmp_path / "_merging" / "alerts" / "event_date=1970-01-01").mkdir(parents=True)
+    assert sinks.merge_days(spark, root, "alerts", 1e6) == []
+    assert rows(read_table(spark, root, "alerts", ["id"])) == [("a",), ("b",)]
+
+
 def test_nvd_metrics(spark, tmp_path):
     def cve(name, metrics, descriptions=({"lang": "en", "value": "text"},)):
         return {"cve": {"id": name, "descriptions": list(descriptions), "metrics": metrics}}
