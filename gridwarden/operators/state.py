@@ -9,8 +9,9 @@ from gridwarden.functions.constants import ALERT_NOT_FOUND
 def latest_by(df, key, ts, cols, ties=()):
     """The newest row per key, as one struct so that its columns stay together.
 
-    A plain aggregate: each task keeps one row per key before the shuffle, so a key
-    that holds most of the log costs no more than any other.
+    An aggregate over structs, which Spark sorts by key in each task: one row per key and task is
+    shuffled, so a key that holds most of the log costs no more than any other. Logs that are
+    asked often keep their newest rows, see ``sinks.refresh_latest``.
     """
     keys = [key] if isinstance(key, str) else list(key)
     newest = F.max_by(F.struct(*cols), F.struct(ts, *ties, *cols))
@@ -139,5 +140,23 @@ def agent_breakdown(roster, now, top=5):
     )
 
 
+#: Key and order of the logs whose newest rows are kept.
+LOGS = {
+    "alert_actions": ("alert_id", "ts", ("id",)), "ip_policies": ("ip", "ts", ("id",)),
+    "asset_admin": ("ip", "ts", ()),
+}
+
+
+def newest_rows(log, table):
+    """The whole newest row per key of a log; of the rows that two sets of newest rows hold it
+    gives the same as of all rows behind them."""
+    key, ts, ties = LOGS[table]
+    # the order that the state's own functions use: time, ties, then the other columns
+    cols = [c for c in log.columns if c not in (key, ts, *ties)]
+    order = {"asset_admin": ["owner", "criticality", "tags", "notes", "actor"]}.get(table, cols)
+    newest = F.max_by(F.struct(*log.columns), F.struct(ts, *ties, *order))
+    return log.groupBy(key).agg(newest.alias("r")).select("r.*")
+
+
 def seen_keys(matches):
     return matches.select("source_key").distinct()

@@ -159,9 +159,12 @@ def streamed_scans_of_one_source(spark, sf):
     return _scan_stream(spark, events, refire=False)
 
 
-@query(S.cte("agent_conn") + f"""SELECT * FROM (SELECT agent_id,
+INCREMENTS_SQL = S.cte("agent_conn") + f"""SELECT * FROM (SELECT agent_id,
     {S.agent_zone(S.guess('resp_p'), 'resp_p')} AS zone, {S.guess('resp_p')} AS service,
-    count(*) AS count, floor(ts / 30) * 30 + 30 AS ts FROM agent_conn GROUP BY ALL)""")
+    count(*) AS count, floor(ts / 30) * 30 + 30 AS ts FROM agent_conn GROUP BY ALL)"""
+
+
+@query(INCREMENTS_SQL)
 def streamed_increments(spark, sf):
     logs, out, checkpoint = _paths(spark, "increment-stream")
     rows = A.agent_conn(spark, sf).withColumn("event_time", event_time(F.col("ts")))
@@ -175,6 +178,20 @@ def streamed_increments(spark, sf):
     return spark.read.schema(schemas.AGENT_CONNECTION_STATS).parquet(out)
 
 
+@query(INCREMENTS_SQL)
+def streamed_late_increments(spark, sf):
+    """The connections of the second half come first, so those of the first are late."""
+    logs, root, checkpoint = _paths(spark, "late-stream")
+    rows = A.agent_conn(spark, sf).withColumn("event_time", event_time(F.col("ts")))
+    middle = rows.agg(F.avg("ts")).first()[0]
+    for part in (rows.where(F.col("ts") >= middle), rows.where(F.col("ts") < middle)):
+        part.write.mode("append").parquet(logs)
+        stream = spark.readStream.schema(rows.schema).parquet(logs)
+        streaming.stream_late_increments(
+            stream, root, checkpoint, trigger=ONCE).awaitTermination()
+    return streaming.read_increments(spark, root)
+
+
 @query(TECHNIQUE_MATCHES_SQL)
 def streamed_technique_matches(spark, sf):
     """Alerts matched as they come; the reference is new, so the first batch takes all."""

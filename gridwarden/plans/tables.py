@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gridwarden import sinks
-from gridwarden.operators import ingest
+from gridwarden.operators import ingest, state
 from gridwarden.plans import adapters as A, sql as S
 from gridwarden.plans.expressions import NOW
 from gridwarden.plans.registry import query
@@ -32,6 +32,31 @@ def replaced_stats(spark, sf):
     return read_snapshot(spark, root, "connection_stats")
 
 
+def _kept(spark, log, table):
+    """The newest rows of a log, kept over two refreshes of which each sees half of it."""
+    root = fresh_path(spark, "store")
+    half = F.pmod(F.hash(*log.columns), F.lit(2))
+    for part in range(2):
+        sinks.append(log.where(half == part), root, table)
+        sinks.refresh_latest(spark, root, table)
+    return read_snapshot(spark, root, f"latest_{table}")
+
+
+@query(S.cte("latest_action") + "SELECT * FROM latest_action")
+def kept_latest_actions(spark, sf):
+    return state.latest_action(_kept(spark, A.alert_actions(spark, sf), "alert_actions"))
+
+
+@query(S.cte("latest_admin") + "SELECT * FROM latest_admin")
+def kept_latest_admin(spark, sf):
+    return state.latest_admin(_kept(spark, A.asset_admin(spark, sf), "asset_admin"))
+
+
+@query(S.cte("latest_policy") + "SELECT * FROM latest_policy")
+def kept_latest_policies(spark, sf):
+    return state.latest_policy(_kept(spark, A.ip_policies(spark, sf), "ip_policies"))
+
+
 def _match_rows(spark, sf):
     return A.scored_matches(spark, sf).select(
         "source_key", "software", F.col("cvss_score").cast("float").alias("cvss_score"),

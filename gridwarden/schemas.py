@@ -82,10 +82,9 @@ TABLES = {
     "asset_admin": ASSET_ADMIN, "ip_policies": IP_POLICIES, "agents": AGENTS,
     "agent_connection_stats": AGENT_CONNECTION_STATS,
 }
+TABLES |= {f"latest_{log}": TABLES[log] for log in ("alert_actions", "asset_admin", "ip_policies")}
 
-#: Tables stored by UTC day, and the column (epoch seconds) that gives it.
-DATED = {
-    "alerts": "ts", "software": "ts", "alert_actions": "ts", "asset_observations": "last_seen",
-    "asset_admin": "ts", "ip_policies": "ts", "agents": "last_checkin",
-    "agent_connection_stats": "ts",
-}
+#: Tables that grow by what sensors and agents report from day to day. They are stored by UTC day
+#: of the column given here (epoch seconds), the others are not.
+DATED = {"alerts": "ts", "asset_observations": "last_seen", "agents": "last_checkin",
+         "agent_connection_stats": "ts"}

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from gridwarden import schemas
 from gridwarden.functions.times import epoch_micros
+from gridwarden.operators.state import newest_rows
 from gridwarden.session import filesystem
-from gridwarden.sources.tables import COMMIT_SCHEMA, COMMITS, stored_files
+from gridwarden.sources.tables import COMMIT_SCHEMA, COMMITS, read_snapshot, stored_files
 
 
 def to_table(df, table):
@@ -64,6 +65,32 @@ def replace(df, root, table, committed=None):
     return version
 
 
+def refresh_latest(spark, root, table, margin=600):
+    """Take what the log ``table`` has gained into its kept newest rows, ``latest_`` and its name.
+
+    Only files written since the last refresh are read, and those of ``margin`` seconds before
+    it, for writers whose clocks differ: a row that is taken twice changes nothing. Returns how
+    many files were read.
+    """
+    kept = f"latest_{table}"
+    commits = stored_files(spark, f"{root}/{kept}/{COMMITS}", COMMIT_SCHEMA)
+    through = commits.agg(F.max("committed")).first()[0]
+    log = spark.read.schema(schemas.TABLES[table])
+    if through is not None:
+        since = datetime.datetime.fromtimestamp(through - margin, datetime.timezone.utc)
+        log = log.option("modifiedAfter", since.strftime("%Y-%m-%dT%H:%M:%S")).option(
+            "timeZone", "UTC")
+    tail = log.parquet(f"{root}/{table}")
+    written = tail.select(F.max("_metadata.file_modification_time").cast("double"), F.count_distinct(
+        "_metadata.file_path")).first()
+    if written[1]:
+        rows = tail.select(*schemas.TABLES[table].names)
+        if through is not None:
+            rows = rows.unionByName(read_snapshot(spark, root, kept))
+        replace(newest_rows(rows, table), root, kept, written[0])
+    return written[1]
+
+
 def with_event_date(df, ts="ts"):
     """Add the UTC day, whatever the session's time zone."""
     day = F.floor(epoch_micros(F.col(ts)) / 86_400_000_000).cast("int")

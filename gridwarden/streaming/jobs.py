@@ -18,6 +18,7 @@ from gridwarden.sources.tables import (
 )
 
 POLL = "3 seconds"
+LATE, SEEN = "late_connections", "seen_times"
 
 
 def start_batches(stream, each_batch, checkpoint, trigger):
@@ -127,6 +128,44 @@ def stream_increments(conn, path, checkpoint, watermark="10 minutes", trigger=No
         .outputMode("append").trigger(**(trigger or {"processingTime": "30 seconds"})).start())
 
 
+def stream_late_increments(conn, root, checkpoint, delay=600, trigger=None):
+    """Per-agent counts of report intervals, rows of any age included.
+
+    Every micro-batch appends its own counts to ``agent_connection_stats``; ``read_increments``
+    sums them, so a row counts in its interval however late it comes and nothing waits in state.
+    Rows whose interval had ended ``delay`` seconds before the latest time that earlier batches
+    have seen are kept under ``late_connections`` as well: counts of their intervals that were
+    read before have changed. ``conn`` is a stream with agent_id, event_time and resp_p.
+    """
+    spark = conn.sparkSession
+    seen_path = f"{root}/{SEEN}"
+
+    def each_batch(batch, batch_id):
+        run = producer(spark, checkpoint)
+        seen = stored_files(spark, f"{seen_path}/{run}", "until double, batch bigint").where(
+            F.col("batch") < batch_id).agg(F.max("until")).first()[0]
+        batch = batch.persist()  # read once for the counts, the late rows and the latest time
+        try:
+            append_once(ingest.agent_increments(batch), root, "agent_connection_stats",
+                        batch_id, run)
+            end = F.window("event_time", f"{ingest.REPORT_SECONDS} seconds")["end"]
+            late = batch.where(F.unix_micros(end) <= (
+                -1 if seen is None else int((seen - delay) * 1e6)))
+            late.write.mode("overwrite").parquet(f"{root}/{LATE}/part={run}.{batch_id}")
+            batch.agg((F.unix_micros(F.max("event_time")) / 1e6).alias("until")).write.mode(
+                "overwrite").parquet(f"{seen_path}/{run}/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    return start_batches(conn, each_batch, checkpoint, trigger)
+
+
+def read_increments(spark, root):
+    """Counts per agent, zone, service and report interval."""
+    rows = read_table(spark, root, "agent_connection_stats")
+    return rows.groupBy("agent_id", "zone", "service", "ts").agg(F.sum("count").alias("count"))
+
+
 def stream_matches(new_rows, all_rows, root, reference, match, table, checkpoint,
                    trigger=None, clock=time.time):
     """Match new rows as they come, and all rows again when the reference was replaced.

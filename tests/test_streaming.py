@@ -9,6 +9,7 @@ from gridwarden import schemas, sinks, streaming
 from gridwarden.functions import event_time
 from gridwarden.operators import correlate, ingest, state, vectors
 from gridwarden.session import materialize, scratch, shared_dir
+from gridwarden.streaming import jobs
 from gridwarden.sources import read_logs, read_table, split_rejects
 from pyspark.sql import functions as F
 
@@ -106,6 +107,28 @@ def test_late_rows_beyond_the_watermark(spark, tmp_path):
     assert rows(got) == [("x", "IT", "http", 2, 10_020.0), ("x", "OT", "modbus", 1, 10_530.0)]
 
 
+def test_late_rows_count_and_are_kept(spark, tmp_path):
+    root, schema = str(tmp_path / "store"), "agent_id string, ts double, resp_p int"
+
+    def run(*values):
+        df = spark.createDataFrame(values, schema).withColumn("event_time", event_time(F.col("ts")))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(f"{schema}, event_time timestamp").parquet(
+            str(tmp_path / "in"))
+        streaming.stream_late_increments(
+            stream, root, str(tmp_path / "cp"), delay=60, trigger=ONCE).awaitTermination()
+        late = spark.read.parquet(f"{root}/{jobs.LATE}")
+        return rows(streaming.read_increments(spark, root)), rows(late, "agent_id", "ts")
+
+    columns = [("x", "IT", "http", 10_020.0, 2), ("x", "OT", "modbus", 10_530.0, 1)]
+    assert run(("x", 10_000.0, 80), ("x", 10_001.0, 80), ("x", 10_500.0, 502)) == (columns, [])
+    # the interval of the first had ended a minute before 10,500, that of the second had not
+    got, late = run(("x", 10_002.0, 80), ("x", 10_450.0, 80), ("x", 20_000.0, 80))
+    assert got == [("x", "IT", "http", 10_020.0, 3), ("x", "IT", "http", 10_470.0, 1),
+                   ("x", "IT", "http", 20_010.0, 1), columns[1]]
+    assert late == [("x", 10_002.0)]
+
+
 def test_matching_takes_all_rows_again_after_a_new_reference(spark, tmp_path):
     root = str(tmp_path / "store")
     encoder = vectors.hashing_encoder(16)
@@ -165,8 +188,8 @@ def test_matches_follow_software_and_list(spark, tmp_path, monkeypatch):
     listed = [(i, f"C{i % 8}", rng.choice(words), rng.choice(texts), float(i)) for i in range(12)]
     names = "pos long, cve_id string, keyword string, description string, cvss_score double"
     seen = []
-    for turn in range(5):
-        if turn in (1, 3, 4):  # some go, some change, some come; positions move
+    for turn in range(4):
+        if turn in (1, 3):  # some go, some change, some come; positions move
             listed = [x for x in listed if rng.random() < 0.7]
             listed = [(p, c, k if rng.random() < 0.8 else rng.choice(words),
                        d if rng.random() < 0.8 else rng.choice(texts) + " again", v)
@@ -178,7 +201,7 @@ def test_matches_follow_software_and_list(spark, tmp_path, monkeypatch):
         cves = spark.createDataFrame(listed, names)
         if turn != 2:
             sinks.replace(cves, root, "cve_list", float(turn))
-        more = [(f"{turn}-{i}" if turn < 4 else f"0-{i}-", 1.0, f"h{rng.randrange(3)}", "t",
+        more = [(f"{turn}-{i}" if turn < 3 else f"0-{i}-", 1.0, f"h{rng.randrange(3)}", "t",
                  rng.choice(words), rng.choice(["1", "2", "flaw", ""])) for i in range(6)]
         seen += more
         sinks.append(spark.createDataFrame(more, schemas.SOFTWARE), root, "software")
@@ -198,5 +221,5 @@ def test_matches_follow_software_and_list(spark, tmp_path, monkeypatch):
     path = matching._path(spark, root, checkpoint)
     got = rows(streaming.read_matches(spark, root, checkpoint))
     batch = spark.createDataFrame(more, schemas.SOFTWARE)
-    matching.update_matches(batch, 4, root, path, encoder, "t")
+    matching.update_matches(batch, 3, root, path, encoder, "t")
     assert rows(streaming.read_matches(spark, root, checkpoint)) == got

@@ -1,5 +1,6 @@
 import datetime
 import json
+import os
 from pathlib import Path
 
 import pytest
@@ -50,6 +51,26 @@ def test_snapshot_versions(spark, tmp_path):
     assert rows(before) == [("IT", "a", 1)]  # an open reader keeps its version
 
 
+def test_kept_rows_read_only_what_is_new(spark, tmp_path):
+    root = str(tmp_path)
+    def actions(*given):
+        return spark.createDataFrame(
+            [(i, a, "allow", "x", "", "", "", t) for i, a, t in given], schemas.ALERT_ACTIONS)
+    def refresh():
+        n = sinks.refresh_latest(spark, root, "alert_actions", margin=0)
+        return n, rows(read_snapshot(spark, root, "latest_alert_actions"), "alert_id", "id")
+    sinks.append(actions(("1", "a", 5.0), ("2", "a", 5.0), ("3", "b", 1.0)).coalesce(1),
+                 root, "alert_actions")
+    old = [f for f in _stored_files(root, "alert_actions")]
+    for f in old:  # written an hour ago
+        os.utime(f, (0, int(f.stat().st_mtime) - 3600))
+    assert refresh() == (1, [("a", "2"), ("b", "3")])
+    assert refresh()[0] == 0
+    sinks.append(actions(("4", "b", 0.5), ("1", "a", 5.0), ("0", "c", 9.0)).coalesce(1),
+                 root, "alert_actions")
+    assert refresh() == (1, [("a", "2"), ("b", "3"), ("c", "0")])
+
+
 def test_append_new(spark, tmp_path):
     root = str(tmp_path)
     def matches(*keys):
