@@ -136,7 +136,7 @@ def _scan_stream(spark, events, refire):
     events.repartition(4).write.parquet(logs)
     end.write.mode("append").parquet(logs)
     stream = spark.readStream.schema(events.schema).parquet(logs)
-    found = streaming.detect_scans_stream(stream, refire=refire)
+    found = streaming.detect_scans_stream(stream, refire=refire, slot_seconds=3600)
     found.writeStream.format("parquet").option("path", out).option(
         "checkpointLocation", checkpoint).trigger(**ONCE).start().awaitTermination()
     return spark.read.schema(found.schema).parquet(out)

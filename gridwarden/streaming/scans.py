@@ -8,7 +8,9 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from gridwarden.functions import constants as K
 from gridwarden.functions.times import epoch_micros, event_time
-from gridwarden.operators.detect import MICROS, _floor, _scan_rows
+from gridwarden.operators.detect import MICROS, _scan_rows
+
+ROWS_AT_ONCE = 200_000
 
 _OUT = "src string, us bigint, dst string, port int, start bigint"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -23,19 +25,20 @@ def keyed_state(spark):
 
 
 def detect_scans_stream(conn, threshold=K.SCAN_PORTS, seconds=K.SCAN_SECONDS, refire=False,
-                        watermark="10 minutes"):
+                        watermark="10 minutes", slot_seconds=None):
     """``detect_scans`` for a stream of connections.
 
     A connection is logged when it ends but timed when it starts, so the watermark should
     exceed the longest connection of interest. Rows wait until the watermark has passed the end
-    of their time slot, which is as long as a window, and a source's slots are then taken in
-    time order, so the result does not depend on arrival. What waits lies in the state store,
-    packed per source, slot and micro-batch, and a task holds one slot of one source at a time;
-    of the open window it keeps the start and at most ``threshold`` + 1 ports. A timer wakes
-    each slot, and one at the window's end drops what is left.
+    of their time slot, and a source's slots are then taken in time order, so the result does not
+    depend on arrival. What waits lies in the state store, packed per source, slot and batch of
+    rows; a task holds some slots of one source, of ``ROWS_AT_ONCE`` rows or one slot. Of the
+    open window the state has the start and at most ``threshold`` + 1 ports, and a timer at its
+    end drops it. Slots are as long as a window unless ``slot_seconds`` says otherwise: longer
+    ones answer later and cost less, as for logs of the past.
 
     Connections of a source with the same time and port (``refire``: and protocol) wait as one
-    row per micro-batch, with their number and the least of the other hosts.
+    row per batch of rows, with their number and the least of the other hosts.
     """
     keyed_state(conn.sparkSession)
     events = conn.select(
@@ -43,9 +46,9 @@ def detect_scans_stream(conn, threshold=K.SCAN_PORTS, seconds=K.SCAN_SECONDS, re
         F.col("resp_p").alias("port"), F.coalesce("proto", F.lit("")).alias("proto"),
         epoch_micros(F.col("ts")).alias("us"), event_time(F.col("ts")).alias("event_time"),
     ).where("src IS NOT NULL AND us IS NOT NULL").withWatermark("event_time", watermark)
-    hits = events.withColumn("slot", _floor("us", seconds * MICROS)).groupBy(
-        "src").transformWithStateInPandas(
-        ScanTracker(threshold, seconds * MICROS, refire), _OUT, "Append", "EventTime")
+    hits = events.groupBy("src").transformWithStateInPandas(
+        ScanTracker(threshold, seconds * MICROS, refire, (slot_seconds or seconds) * MICROS),
+        _OUT, "Append", "EventTime")
     message = K.SCAN_MESSAGE_SENSOR if refire else K.SCAN_MESSAGE_AGENT
     return _scan_rows(hits, threshold, message, agent=not refire)
 
@@ -53,75 +56,95 @@ def detect_scans_stream(conn, threshold=K.SCAN_PORTS, seconds=K.SCAN_SECONDS, re
 class ScanTracker(StatefulProcessor):
     """The scans of one source after another; see ``detect_scans_stream``."""
 
-    def __init__(self, threshold, width, refire):
-        self.threshold, self.width, self.refire = threshold, width, refire
+    def __init__(self, threshold, width, refire, slot):
+        self.threshold, self.width, self.refire, self.slot = threshold, width, refire, slot
         self.same = ["us", "port", "proto"] if refire else ["us", "port"]
 
     def init(self, handle):
         self.handle = handle
         self.open = handle.getValueState("open", "start bigint, seen array<string>")
-        self.parts = handle.getMapState("parts", "slot bigint", "n bigint")
+        self.index = handle.getValueState("index", "slots array<bigint>, parts array<bigint>")
         self.waiting = handle.getMapState("waiting", "slot bigint, part bigint", "rows binary")
 
     def close(self):
         pass
 
+    def _waiting_parts(self):
+        return dict(zip(*self.index.get())) if self.index.exists() else {}
+
     def handleInputRows(self, key, rows, timerValues):
+        parts = self._waiting_parts()
+        first = min(parts, default=None)
         for pdf in rows:
-            for slot, part in pdf.groupby("slot"):
-                self._keep(int(slot), part)
+            packed = pdf.groupby(self.same, as_index=False).agg(dst=("dst", "min"), n=("us", "size"))
+            slots, at = np.unique(packed["us"].to_numpy() // self.slot, return_index=True)
+            table = pa.Table.from_pandas(packed, preserve_index=False)
+            for slot, begin, end in zip(slots.tolist(), at, [*at[1:], len(packed)]):
+                with pa.BufferOutputStream() as out:
+                    with pa.ipc.new_stream(out, table.schema) as writer:
+                        writer.write_table(table.slice(begin, end - begin))
+                    part = parts.get(slot, 0)
+                    self.waiting.updateValue((slot, part), (out.getvalue().to_pybytes(),))
+                parts[slot] = part + 1
+        self._keep(parts)
+        if first is None or min(parts) < first:
+            self._wake(min(parts) + 1)
         yield from ()
 
-    def _keep(self, slot, rows):
-        packed = rows.groupby(self.same, as_index=False).agg(dst=("dst", "min"), n=("us", "size"))
-        table = pa.Table.from_pandas(packed, preserve_index=False)
-        with pa.BufferOutputStream() as out:
-            with pa.ipc.new_stream(out, table.schema) as writer:
-                writer.write_table(table)
-            rows = out.getvalue().to_pybytes()
-        part, = self.parts.getValue((slot,)) or (0,)
-        self.waiting.updateValue((slot, part), (rows,))
-        self.parts.updateValue((slot,), (part + 1,))
-        if not part:
-            self._wake(slot)
+    def _keep(self, parts):
+        if parts:
+            self.index.update((list(parts), list(parts.values())))
+        elif self.index.exists():
+            self.index.clear()
 
     def _wake(self, slot):
-        self.handle.registerTimer((slot + 1) * self.width // 1000)
+        self.handle.registerTimer(slot * self.slot // 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        # Slots before this one are complete: what comes yet is later.
+        now = timerValues.getCurrentWatermarkInMs() * 1000 // self.slot
         start, seen = self.open.get() if self.open.exists() else (None, [])
-        parts = self.parts.getValue((now // self.width - 1,))
-        if parts:
-            rows = self._take(now // self.width - 1, *parts)
-            port = rows["port"].astype(str)
-            start, seen, fired = advance(
-                rows["us"].to_numpy(np.int64),
-                (port + "/" + rows["proto"] if self.refire else port).to_numpy(object),
-                start, set(seen), self.threshold, self.width, self.refire)
-            if fired:
-                at, starts = zip(*fired)
-                hit = rows.iloc[list(at)]
-                found = pd.DataFrame({
-                    "src": key[0], "us": hit["us"].to_numpy(), "dst": hit["dst"].to_numpy(),
-                    "port": hit["port"].to_numpy(np.int32), "start": starts})
-                yield found.loc[found.index.repeat(hit["n"])] if self.refire else found
-        if start is not None and start + self.width < now:
-            self.open.clear()
-        elif parts:
+        known, parts, tables, size = start, self._waiting_parts(), [], 0
+        due = sorted(slot for slot in parts if slot < now)
+        for slot in due:
+            for part in range(parts.pop(slot)):
+                with pa.ipc.open_stream(self.waiting.getValue((slot, part))[0]) as reader:
+                    tables.append(reader.read_all())
+                size += len(tables[-1])
+                self.waiting.removeKey((slot, part))
+            if size >= ROWS_AT_ONCE or slot == due[-1]:
+                start, seen, found = self._taken(tables, start, set(seen))
+                tables, size = [], 0
+                if found is not None:
+                    yield found.assign(src=key[0])[["src", "us", "dst", "port", "start"]]
+        if due:
+            self._keep(parts)
+        if start is not None and start + self.width < now * self.slot:
+            if known is not None:
+                self.open.clear()
+            start = None
+        elif due:
             self.open.update((start, sorted(seen)))
-            self._wake((start + self.width) // self.width)
-
-    def _take(self, slot, parts):
-        """The slot's rows in order, out of the store."""
-        tables = []
-        for part in range(parts):
-            with pa.ipc.open_stream(self.waiting.getValue((slot, part))[0]) as reader:
-                tables.append(reader.read_all())
-            self.waiting.removeKey((slot, part))
-        self.parts.removeKey((slot,))
-        return pa.concat_tables(tables).to_pandas().sort_values(
+        if parts:
+            self._wake(min(parts) + 1)
+        elif start is not None:
+            self._wake((start + self.width) // self.slot + 1)
+
+    def _taken(self, tables, start, seen):
+        """The open window after these rows, and the rows that fire."""
+        rows = pa.concat_tables(tables).to_pandas().sort_values(
             [*self.same, "dst"], kind="stable", ignore_index=True)
+        port = rows["port"].astype(str)
+        start, seen, fired = advance(
+            rows["us"].to_numpy(np.int64),
+            (port + "/" + rows["proto"] if self.refire else port).to_numpy(object),
+            start, seen, self.threshold, self.width, self.refire)
+        if not fired:
+            return start, seen, None
+        at, starts = zip(*fired)
+        hit = rows.iloc[list(at)].assign(start=starts)
+        hit["port"] = hit["port"].astype(np.int32)
+        return start, seen, hit.loc[hit.index.repeat(hit["n"])] if self.refire else hit
 
 
 def advance(us, keys, start, seen, threshold, width, refire):

@@ -141,8 +141,9 @@ class _Held:
         del self.rows[None]
 
 
-def test_state_of_a_hot_source_is_bounded_by_ports_and_empty_at_the_end():
+def test_state_of_a_hot_source_is_bounded_by_ports_and_empty_at_the_end(monkeypatch):
     import pandas as pd
+    from gridwarden.streaming import scans as scans_stream
     from gridwarden.streaming.scans import ScanTracker
 
     width, timers, held = 60_000_000, set(), {}
@@ -156,30 +157,46 @@ def test_state_of_a_hot_source_is_bounded_by_ports_and_empty_at_the_end():
         def getMapState(self, name, key, value):
             return held.setdefault(name, _Held())
 
-    class Due:
-        def __init__(self, at):
-            self.at = at
+    class Watermark:
+        def __init__(self, ms):
+            self.ms = ms
 
-        def getExpiryTimeInMs(self):
-            return self.at
+        def getCurrentWatermarkInMs(self):
+            return self.ms
 
-    tracker, taken = ScanTracker(15, width, True), []
+    tracker, taken = ScanTracker(15, width, True, width), []
     tracker.init(Handle())
-    take = tracker._take
-    tracker._take = lambda slot, parts: taken.append(rows := take(slot, parts)) or rows
+    take = tracker._taken
+    tracker._taken = lambda tables, *a: taken.append(sum(map(len, tables))) or take(tables, *a)
+    monkeypatch.setattr(scans_stream, "ROWS_AT_ONCE", 100)
     rng = random.Random(8)
     events = [(rng.randrange(1200 * 1_000_000), rng.randrange(3000)) for _ in range(30_000)]
     for at in range(0, len(events), 1000):
         us, port = zip(*events[at:at + 1000])
         frame = pd.DataFrame({"us": us, "port": port, "proto": "tcp", "dst": "d"})
-        list(tracker.handleInputRows(("s",), [frame.assign(slot=frame["us"] // width)], None))
-    most = 0
-    while timers:
-        timers.remove(due := min(timers))
-        list(tracker.handleExpiredTimer(("s",), None, Due(due)))
-        most = max(most, len(held["open"].get()[1]) if held["open"].exists() else 0)
-    assert len(taken) == 20 and max(len(t) for t in taken) < 2000  # one slot at a time
+        list(tracker.handleInputRows(("s",), [frame], None))
+    most, found = 0, []
+    for ms in range(0, 1_400_000, 150_000):
+        if due := {t for t in timers if t <= ms}:
+            timers -= due
+            found += list(tracker.handleExpiredTimer(("s",), Watermark(ms), None))
+            most = max(most, len(held["open"].get()[1]) if held["open"].exists() else 0)
+    assert len(taken) == 20 and max(taken) < 2000  # one slot at a time
     assert most == 16 and not any(h.rows for h in held.values())
+    assert [tuple(r) for f in found for r in f[["us", "start"]].itertuples(index=False)] == sorted(
+        (round(t * 1e6), round(w * 1e6)) for t, w in replay(events))
+
+
+def replay(events, threshold=15, width=60.0):
+    """(time, window start) of each notice of one source, event by event."""
+    start, ports, out = None, set(), []
+    for us, port in sorted(events):
+        if start is None or us - start > width * 1e6:
+            start, ports = us, set()
+        ports.add(port)
+        if len(ports) == threshold:
+            out.append((us / 1e6, start / 1e6))
+    return out
 
 
 def test_modbus_writes(spark):
