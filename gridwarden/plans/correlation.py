@@ -304,7 +304,8 @@ def cve_matches_from_pages(spark, sf):
     listings counts."""
     path = fresh_path(spark, "pages")
     _write_pages(spark, sf, path)
-    listed = materialize(flatten_nvd(load_nvd(spark, path, lines=True), F.col("keyword")), "list")
+    pages = load_nvd(spark, path, lines=True, positions=True)
+    listed = materialize(flatten_nvd(pages, F.col("keyword")), "list")
     reference = correlate.build_cve_reference(listed, ENCODER)
     return correlate.match_software(A.software(spark, sf), listed, reference, ENCODER, RUN_TS)
 

@@ -199,7 +199,7 @@ def test_pages_give_positions(spark, tmp_path):
                 for i, p in enumerate(found):
                     (path / f"{i}.json").write_text(json.dumps(p, indent=1))
         listed = flatten_nvd(
-            load_nvd(spark, str(tmp_path / str(lines)), lines), F.col("keyword"))
+            load_nvd(spark, str(tmp_path / str(lines)), lines, True), F.col("keyword"))
         assert rows(listed, "pos", "keyword", "cve_id", "description") == [
             (0, "a", "C1", "early"), (1, "a", "C3", ""), (2, "a", "C4", "y"),
             (3, "b", "C1", "late"), (4, "b", "C2", "x")]
@@ -216,7 +216,7 @@ def test_bundles_give_positions(spark, tmp_path):
     for i, objects in enumerate([[pattern("T1", "a"), {"type": "malware"}, pattern("T2", "b")],
                                  [pattern("T1", "c"), pattern("T3", "d", revoked=True)]]):
         (tmp_path / f"{i}.json").write_text(json.dumps({"objects": objects}))
-    listed = flatten_stix(load_stix(spark, str(tmp_path)))
+    listed = flatten_stix(load_stix(spark, str(tmp_path), positions=True))
     assert rows(listed, "pos", "technique_id", "name") == [
         (0, "T1", "a"), (2, "T2", "b"), (3, "T1", "c")]
     reference = correlate.build_technique_reference(listed, vectors.hashing_encoder(8))
