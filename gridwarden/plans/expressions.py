@@ -311,7 +311,7 @@ def agent_batch_alerts(spark, sf):
     return ingest.ingest_agent_batches(_batches(spark, sf))[0]
 
 
-_BATCH_COUNTS = f"""SELECT 'agent-' || user_id AS agent_id, zone, service, count,
+BATCH_COUNTS_SQL = f"""SELECT 'agent-' || user_id AS agent_id, zone, service, count,
     {S.seconds('ts')} AS ts FROM (
     SELECT user_id, ts, CASE WHEN event_id % 4 = 0 THEN 'IT' ELSE 'OT' END AS zone,
         'modbus' AS service, event_id % 10 AS count FROM events
@@ -320,13 +320,13 @@ _BATCH_COUNTS = f"""SELECT 'agent-' || user_id AS agent_id, zone, service, count
     UNION ALL SELECT user_id, ts, 'bare', 'unclassified', 1 FROM events)"""
 
 
-@query(_BATCH_COUNTS)
+@query(BATCH_COUNTS_SQL)
 def agent_batch_counts(spark, sf):
     return ingest.ingest_agent_batches(_batches(spark, sf))[1]
 
 
 @query(f"""SELECT agent_id, zone, service, CAST(sum(count) AS BIGINT) AS count
-    FROM ({_BATCH_COUNTS}) GROUP BY ALL""")
+    FROM ({BATCH_COUNTS_SQL}) GROUP BY ALL""")
 def agent_traffic(spark, sf):
     return ingest.agent_traffic(ingest.ingest_agent_batches(A.agent_batches(spark, sf))[1])
 

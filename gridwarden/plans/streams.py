@@ -11,7 +11,7 @@ from gridwarden.plans.correlation import (
 )
 from gridwarden.plans.detections import AGENT_SCANS_SQL, SENSOR_SCANS_SQL
 from gridwarden.plans.expressions import (
-    BATCH_ALERTS_SQL, NOTICE_ALERTS_SQL, SOFTWARE_ROWS_SQL, write_conn_log, write_notices, write_software_log,
+    BATCH_ALERTS_SQL, BATCH_COUNTS_SQL, NOTICE_ALERTS_SQL, SOFTWARE_ROWS_SQL, write_conn_log, write_notices, write_software_log,
 )
 from gridwarden.plans.registry import query
 from gridwarden.session import fresh_path
@@ -111,6 +111,15 @@ def streamed_alerts_of_producers(spark, sf):
     return read_table(spark, root, "alerts")
 
 
+@query(BATCH_COUNTS_SQL)
+def streamed_agent_counts(spark, sf):
+    """The connection counts of agent reports, out of the stream that stores their alerts too."""
+    logs, root, checkpoint = _paths(spark, "agent-stream")
+    A.agent_batches(spark, sf).write.json(logs)
+    streaming.stream_agent_batches(spark, logs, root, checkpoint, ONCE).awaitTermination()
+    return read_table(spark, root, "agent_connection_stats")
+
+
 @query(S.cte("checkins") + """SELECT agent_id, hostname, ip, os, agent_group, version,
     ts AS last_checkin FROM checkins""")
 def streamed_checkins(spark, sf):
