@@ -271,7 +271,9 @@ def resample(docs: DataFrame, target: DataFrame, buckets=BUCKETS, words=WORDS, *
     """draw() over docs (doc_id, text), weighed by how much likelier the features are in target.
 
     Counts are over all rows of both sides. Without docs there are no rows, without target all
-    buckets of the target are empty. Other columns of docs are left out.
+    buckets of the target are empty. Other columns of docs are left out. Long texts are taken in
+    parts of ``TOGETHER`` bytes, or of one word; what is counted together in a task has the size of
+    such a part, and ``buckets`` numbers are all that leaves it.
     """
     gain = gains(feature_counts(docs, buckets, words), feature_counts(target, buckets, words),
                  buckets)

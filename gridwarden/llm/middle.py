@@ -125,8 +125,8 @@ def store_texts(docs: DataFrame, path, size=FRAME) -> None:
 
     ``frames`` are zstandard frames of at most ``size`` bytes of text each, independent of each
     other; ``seek`` has the counts up to each one's end. A line is what ends in a line feed, and
-    what stands behind the last one. A null or empty text has no frames and no lines. Other
-    columns of docs are left out; repeated rows are each stored; no rows give an empty table.
+    what stands behind the last one. A null or empty text has no frames and no lines; a long one has
+    more frames, of which later steps hold one at a time. Other columns of docs are left out; repeated rows are each stored; no rows give an empty table.
     """
     @F.pandas_udf(f"n bigint, chars bigint, frames binary, seek {_SEEK}")
     def pack(texts: pd.Series) -> pd.DataFrame:
