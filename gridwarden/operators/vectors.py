@@ -5,8 +5,6 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import CountVectorizerModel, IDF, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F, types as T, Window as W
 
 from gridwarden.functions.scores import RANK_DIGITS
@@ -29,6 +27,7 @@ def _slots(text, dim):
 
 def _counted(texts, dim):
     """texts with ``counts``, a sparse vector of how many words fall into each slot."""
+    from pyspark.ml.feature import CountVectorizerModel  # here: Python workers need none of it
     slots = texts.withColumn("_slots", _slots(F.col("text"), dim))
     return CountVectorizerModel.from_vocabulary(
         [str(i) for i in range(dim)], "_slots", "counts").transform(slots).drop("_slots")
@@ -40,6 +39,7 @@ def hashing_encoder(dim=64):
     Needs no model and no Python; the words of a text are counted in one pass over them.
     """
     def encode(texts):
+        from pyspark.ml.functions import vector_to_array
         return _counted(texts, dim).select(
             "text", vector_to_array("counts", "float32").alias("embedding"))
     encode.on_frame = True
@@ -52,6 +52,8 @@ def weighted_encoder(corpus, dim=64):
 
     One pass over the corpus (``text``) fits the weights; a text of no weight stays zero.
     """
+    from pyspark.ml.feature import IDF, Normalizer
+    from pyspark.ml.functions import vector_to_array
     idf = IDF(inputCol="counts", outputCol="weighted").fit(
         _counted(corpus.select("text").where("text IS NOT NULL"), dim))
     normal = Normalizer(inputCol="weighted", outputCol="unit", p=2.0)
