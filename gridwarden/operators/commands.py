@@ -10,7 +10,6 @@ from gridwarden.functions import constants as K
 from gridwarden.functions.addresses import is_ip
 from gridwarden.functions.alerts import content_id
 from gridwarden.functions.times import epoch_micros
-from gridwarden.session import materialize
 
 
 def _split(checked):
@@ -101,64 +100,77 @@ def edit_assets(requests):
 def criticality_as_of(requests, admin):
     """Requests with the host's criticality in force at their time, or NULL.
 
-    An as-of join without pairing rows: the edits and the requests of a host are put
-    in one sequence and each request takes the last edit before it. The sequence is
-    cut into days; only the last edit of each day is carried on, so a host with very
-    many rows is spread over its days.
+    An as-of join on narrow keys: the distinct hosts and times that are asked for and the
+    edits of a host are put in one sequence, each time takes the last edit up to it, and the
+    requests themselves meet only the answers. The sequence is cut into days and only the
+    last edit of each day is carried on, so a host with very many rows is spread over its
+    days. Edits or requests without a host or a time meet nothing.
     """
-    columns = requests.columns
-    day = F.floor(F.col("ts") / 86400)
-    edits = admin.groupBy("ip", "ts").agg(F.max(F.struct(
-        "owner", "criticality", "tags", "notes")).alias("e")).select(
-        "ip", "ts", F.coalesce(F.col("e.criticality"), F.lit("")).alias("criticality"))
-    asked = requests.select(
-        "ip", "ts", F.lit(1).alias("is_request"), F.struct(*columns).alias("request"),
-        F.lit(None).cast("string").alias("criticality"))
-    both = asked.unionByName(
-        edits.withColumn("is_request", F.lit(0)), allowMissingColumns=True,
-    ).withColumn("day", day)
-
-    known = F.when(F.col("is_request") == 0, F.struct("ts", "criticality"))
-    order = ["ts", "is_request"]
-    in_day = (
-        Wnd.partitionBy("ip", "day").orderBy(*order)
-        .rowsBetween(Wnd.unboundedPreceding, Wnd.currentRow))
-    within = both.withColumn("in_day", F.last(known, ignorenulls=True).over(in_day))
-
-    last_of_day = edits.groupBy("ip", day.alias("day")).agg(
-        F.max_by("criticality", "ts").alias("carried"))
-    request_days = asked.select("ip", day.alias("day")).distinct()
-    days = last_of_day.unionByName(request_days, allowMissingColumns=True).groupBy(
-        "ip", "day").agg(F.max(F.struct("carried")).alias("c"))
-    before = (
-        Wnd.partitionBy("ip").orderBy("day").rowsBetween(Wnd.unboundedPreceding, -1))
-    carried = days.select(
-        "ip", "day",
-        F.last(F.when(F.col("c.carried").isNotNull(), F.col("c")), ignorenulls=True)
-        .over(before).alias("before"))
-    return within.where("is_request = 1").join(carried, ["ip", "day"], "left").select(
-        "request.*",
-        F.coalesce("in_day.criticality", "before.carried").alias("host_criticality"))
+    day = F.floor(F.col("ts") / 86400).alias("day")
+    text = ["owner", "criticality", "tags", "notes"]
+    edits = admin.where("ip IS NOT NULL AND ts IS NOT NULL").select("ip", "ts", *text, day)
+    asked = requests.where("ip IS NOT NULL AND ts IS NOT NULL").select("ip", "ts").distinct()
+    asked = asked.select("ip", "ts", day)
+
+    in_force = F.coalesce("criticality", F.lit(""))
+    both = edits.withColumn("in_force", in_force).unionByName(
+        asked.withColumn("asked", F.lit(1)), allowMissingColumns=True)
+    # Of edits at one time the one with the greatest texts is in force, as in a maximum of them.
+    order = Wnd.partitionBy("ip", "day").orderBy("ts", F.asc_nulls_first("asked"), *text)
+    within = both.withColumn("in_day", F.last("in_force", ignorenulls=True).over(
+        order.rowsBetween(Wnd.unboundedPreceding, Wnd.currentRow))).where(
+        "asked = 1").select("ip", "day", "ts", "in_day")
+
+    # One row per day with an edit, and one per day asked for, which comes before its edit.
+    last_of_day = edits.groupBy("ip", "day").agg(
+        F.max(F.struct("ts", *text)).alias("e")).select(
+        "ip", "day", F.coalesce("e.criticality", F.lit("")).alias("carried"))
+    days = last_of_day.unionByName(
+        asked.select("ip", "day").distinct(), allowMissingColumns=True)
+    before = Wnd.partitionBy("ip").orderBy("day", F.asc_nulls_first("carried")).rowsBetween(
+        Wnd.unboundedPreceding, Wnd.currentRow)
+    carried = days.select("ip", "day", "carried", F.last("carried", ignorenulls=True).over(
+        before).alias("before")).where("carried IS NULL").select("ip", "day", "before")
+    answers = within.join(carried, ["ip", "day"], "left").select(
+        F.col("ip").alias("_ip"), F.col("ts").alias("_ts"),
+        F.coalesce("in_day", "before").alias("host_criticality"))
+    return requests.join(
+        answers, [F.col("ip") == F.col("_ip"), F.col("ts") == F.col("_ts")], "left").drop(
+        "_ip", "_ts")
+
+
+def judged_ip_policies(requests, admin):
+    """Requests with ``error``, the reason why a host policy is refused, or NULL.
+
+    Only requests that a critical host would refuse are looked up among the edits: others
+    stay where they are.
+    """
+    valid = _in("policy", K.POLICIES)
+    guarded = _in("policy", K.GUARDED_POLICIES) & ~F.coalesce(
+        F.col("confirm_critical"), F.lit(False))
+    free = requests.where(~guarded).withColumn("error", F.when(~valid, K.INVALID_POLICY))
+    looked_up = criticality_as_of(requests.where(guarded), admin).withColumn("error", F.when(
+        F.col("host_criticality") == "critical",
+        F.format_string(K.CRITICAL_HOST, F.col("ip")))).drop("host_criticality")
+    return free.unionByName(looked_up)
 
 
 def apply_ip_policies(requests, admin, decide=None):
     """Host policies; a critical host needs ``confirm_critical`` to be cut off.
 
-    Criticality is the one in force at the request's time.
+    Criticality is the one in force at the request's time. Each of the two results looks the
+    edits up by itself; who needs both of many requests stores ``judged_ip_policies`` first
+    and passes it to ``split_ip_policies``.
     """
-    valid = _in("policy", K.POLICIES)
-    guarded = _in("policy", K.GUARDED_POLICIES) & (
-        F.col("host_criticality") == "critical") & ~F.coalesce(
-        F.col("confirm_critical"), F.lit(False))
-    checked = criticality_as_of(requests, admin).withColumn("error", (
-        F.when(~valid, K.INVALID_POLICY)
-        .when(guarded, F.format_string(K.CRITICAL_HOST, F.col("ip")))
-    ))
-    # Both results come from one look-up of the edits.
-    accepted, rejected = _split(materialize(checked, "policy-requests"))
+    return split_ip_policies(judged_ip_policies(requests, admin), decide)
+
+
+def split_ip_policies(judged, decide=None):
+    """(rows to append, rejected requests) of judged requests."""
+    accepted, rejected = _split(judged)
     decided = decide(accepted) if decide else _decide(accepted, policy_decision())
     return decided.select(
         content_id(F.col("ip"), F.col("policy"), epoch_micros(F.col("ts"))).alias("id"),
         "ip", "policy", "actor", F.coalesce("notes", F.lit("")).alias("notes"),
         "enforcement_status", "enforcement_detail", "ts",
-    ), rejected.drop("host_criticality")
+    ), rejected
