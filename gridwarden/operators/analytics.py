@@ -6,6 +6,7 @@ from pyspark.sql import functions as F, Window as W
 
 from gridwarden.functions.alerts import extract_protocol, text_matches
 from gridwarden.functions.times import epoch_micros
+from gridwarden.session import materialize
 
 
 def kpis(alerts, cve_matches, technique_matches):
@@ -116,48 +117,48 @@ def page_count(total, size):
     return max(1, math.ceil(total / size))
 
 
-# Ever finer ranges of the sort order (newest first, then id); each splits one range of
-# the level above into a bounded number of parts.
-SHALLOW = 100_000
-_LEVELS = (
-    "-floor(coalesce(ts, -1e15) / 86400)",
-    "-floor(coalesce(ts, -1e15) / 60)",
-    "-floor(coalesce(ts, -1e15) * 100)",
-    "-coalesce(ts, -1e15)",
-)
-
-
-def page(alerts, number, size, total=None, shallow=SHALLOW):
+def page(alerts, number, size, total=None):
     """One page of alerts, newest first; a page past the end is the last one.
 
-    Sorting for a page keeps all rows before it in one task. For pages deeper than
-    ``shallow`` rows the range that holds the page is looked up first, by counting the
-    days, then the minutes of those days and so on, and only that range is sorted.
+    Each task keeps the rows up to the end of the page, so this is for the first pages, which
+    it takes out of one pass. ``indexed_page`` serves pages of any depth.
     """
     total = alerts.count() if total is None else total
     skip = min(number, page_count(total, size) - 1) * size
-    for level in _LEVELS:
-        if skip + size <= shallow:
-            break
-        alerts, skip = _range_of_page(alerts, level, skip, size)
-    rows = alerts.orderBy(F.desc_nulls_last("ts"), "id")
-    return rows.offset(skip).limit(size)
-
-
-def _range_of_page(alerts, level, skip, size):
-    """The rows whose ``level`` lies in the page's range, and how many come before it."""
-    rows = alerts.withColumn("level", F.expr(level))
-    counts = rows.groupBy("level").agg(F.count("*").alias("n"))  # one row per part
-    upto = W.orderBy("level").rowsBetween(W.unboundedPreceding, W.currentRow)
-    parts = counts.withColumn("end", F.sum("n").over(upto)).where(
-        (F.col("end") > skip) & (F.col("end") - F.col("n") < skip + size))
-    found = parts.agg(
-        F.min("level").alias("lo"), F.max("level").alias("hi"),
-        F.min(F.col("end") - F.col("n")).alias("before")).first()
-    if found["lo"] is None:
-        return alerts.limit(0), 0
-    inside = rows.where(F.col("level").between(found["lo"], found["hi"])).drop("level")
-    return inside, skip - found["before"]
+    return alerts.orderBy(F.desc_nulls_last("ts"), "id").offset(skip).limit(size)
+
+
+def page_index(alerts):
+    """(rows, parts): the alerts in the order of the pages, newest first, for any number of pages.
+
+    The rows are dealt to tasks by ranges of the order, sorted there and written to the shared
+    folder with the number of their part and their place in it; parts lists the rows of each
+    part, one entry per task. A rank is the rows of the parts before and the place.
+    """
+    order = [F.desc_nulls_last("ts"), F.asc("id")]
+    placed = alerts.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({
+        "_part": F.spark_partition_id(),
+        "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    stored = materialize(placed, "page-index")
+    counts = stored.groupBy("_part").agg(F.count("*").alias("n")).collect()
+    return stored, sorted((r["_part"], r["n"]) for r in counts)
+
+
+def indexed_page(index, number, size):
+    """The same page out of the alerts' ``page_index``; its cost does not grow with depth.
+
+    The ranks of the page name places in one or a few parts, the only ones that are read.
+    Pages of one index neither overlap nor leave rows out, repeated rows included.
+    """
+    rows, parts = index
+    skip = min(number, page_count(sum(n for _, n in parts), size) - 1) * size
+    on_page, before = F.lit(False), 0
+    for part, n in parts:
+        if before < skip + size and before + n > skip:
+            on_page = on_page | ((F.col("_part") == part) & F.col("_place").between(
+                skip - before, skip + size - before - 1))
+        before += n
+    return rows.where(on_page).orderBy("_part", "_place").drop("_part", "_place")
 
 
 def page_after(alerts, ts, row_id, size):

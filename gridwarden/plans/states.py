@@ -1,6 +1,8 @@
 """Queries over current state, joins and analytics."""
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from gridwarden.operators import analytics, ingest, state
 from gridwarden.plans import adapters as A, sql as S
@@ -222,7 +224,20 @@ def alert_page(spark, sf):
     OFFSET (SELECT (greatest(count(*) - 1, 0) // 50) * 50 FROM alerts)""")
 def last_alert_page(spark, sf):
     """A page number past the end gives the last page."""
-    return analytics.page(A.alerts(spark, sf), 10 ** 9, 50)
+    return analytics.indexed_page(analytics.page_index(A.alerts(spark, sf)), 10 ** 9, 50)
+
+
+@query(S.cte("alerts").rstrip() + """,
+    placed AS (SELECT *, row_number() OVER (ORDER BY ts DESC, id) - 1 AS place,
+        count(*) OVER () AS total FROM alerts)
+    SELECT * EXCLUDE (place, total) FROM placed
+    WHERE place < 100 OR (place // 100 = total // 200)""")
+def pages_of_one_index(spark, sf):
+    """The first page and one half-way down, both out of one index."""
+    index = analytics.page_index(A.alerts(spark, sf))
+    half = sum(n for _, n in index[1]) // 200
+    pages = [analytics.indexed_page(index, number, 100) for number in {0, half}]
+    return reduce(DataFrame.unionByName, pages)
 
 
 @query(S.cte("alerts") + """SELECT * FROM alerts WHERE ts < 1705000000.0
