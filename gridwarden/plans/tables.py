@@ -75,6 +75,19 @@ def appended_matches(spark, sf):
     return read_table(spark, root, "cve_matches", ["source_key", "match_type"])
 
 
+@query(S.cte("scored_matches") + "SELECT DISTINCT source_key, 'fuzzy' AS match_type FROM "
+       "scored_matches")
+def matches_appended_by_key(spark, sf):
+    """Overlapping appends to a table in buckets of its keys, which are not shuffled again."""
+    path = fresh_path(spark, "matches")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    rows = _match_rows(spark, sf)
+    sinks.append_new_by_key(rows.where("cvss_score > 3"), name, "cve_matches", 16, path=path)
+    sinks.append_new_by_key(rows, name, "cve_matches", 16, path=path)
+    sinks.append_new_by_key(rows, name, "cve_matches", 16, path=path)
+    return spark.table(name).select("source_key", "match_type")
+
+
 @query(S.cte("scored_matches") + """SELECT DISTINCT source_key FROM scored_matches
     WHERE source_key NOT IN (SELECT source_key FROM scored_matches WHERE cvss_score > 3)""")
 def unseen_matches(spark, sf):

@@ -54,6 +54,35 @@ def append_new(df, root, table, key="source_key"):
     append(unseen(to_table(df, table), stored, key), root, table)
 
 
+def append_new_by_key(df, table_name, table, buckets, key="source_key", path=None):
+    """Append rows with unseen keys to a catalog table that is stored in buckets of its keys.
+
+    The first write creates it, in the warehouse or under ``path``, with ``buckets`` buckets,
+    as many as make its files about ``FILE_BYTES`` large; later ones keep its number. Only new
+    rows are shuffled, first to one row per key, then to the bucket of the key, where they meet
+    the stored keys, which are read in place. Repeated keys and replayed batches change nothing;
+    rows without a key count as one key that is never stored yet, as in ``append_new``. For one
+    writer at a time: two that run together may both add a key.
+    """
+    spark = df.sparkSession
+    rows = to_table(df, table).dropDuplicates([key])
+    if spark.catalog.tableExists(table_name):
+        spec = {r["col_name"]: r["data_type"] for r in spark.sql(
+            f"DESCRIBE FORMATTED {table_name}").where("col_name = 'Num Buckets'").collect()}
+        buckets = int(spec["Num Buckets"])
+        rows = unseen_in_buckets(rows, spark.table(table_name), buckets, key)
+    else:
+        rows = rows.repartition(buckets, key)
+    writer = rows.write.mode("append").bucketBy(buckets, key).sortBy(key).format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table_name)
+
+
+def unseen_in_buckets(rows, stored, buckets, key="source_key"):
+    """Rows whose key a table of as many buckets does not hold; the table is not shuffled."""
+    return rows.repartition(buckets, key).join(
+        stored.select(key).hint("merge"), key, "left_anti")
+
+
 def replace(df, root, table, committed=None):
     """Write a new version, then commit it; readers never see a half-written table."""
     spark = df.sparkSession

@@ -81,6 +81,27 @@ def test_append_new(spark, tmp_path):
         ("a",), ("b",), ("c",)]
 
 
+def test_append_new_by_key(spark):
+    def matches(*keys):
+        return spark.createDataFrame([(k, "fuzzy") for k in keys], "source_key string, match_type string")
+    for keys in (("a", "a", "b"), ("b", "c"), ("c", "a"), ()):
+        sinks.append_new_by_key(matches(*keys), "matches_by_key", "cve_matches", 6)
+    stored = spark.table("matches_by_key")
+    assert rows(stored, "source_key") == [("a",), ("b",), ("c",)]
+    assert stored.columns == schemas.TABLES["cve_matches"].names
+    many = spark.range(300).selectExpr("CAST(id % 100 AS STRING) AS source_key")
+    sinks.append_new_by_key(many, "matches_by_key", "cve_matches", 99)  # it keeps its 6 buckets
+    assert spark.table("matches_by_key").count() == 103
+    new = sinks.to_table(many, "cve_matches").dropDuplicates(["source_key"])
+    plan = sinks.unseen_in_buckets(new, spark.table("matches_by_key"), 6)._jdf.queryExecution(
+        ).executedPlan().toString()
+    # The stored keys are read bucket by bucket, without an exchange.
+    stored_side = plan.split("Range (")[1]
+    assert "SelectedBucketsCount: 6 out of 6" in stored_side
+    assert "FileScan" in stored_side and "Exchange" not in stored_side
+
+
+
 def test_old_days_are_dropped(spark):
     day = 86400.0
     alerts = spark.createDataFrame(
