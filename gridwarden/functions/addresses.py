@@ -1,4 +1,4 @@
-"""IP address tests as single regular expressions."""
+"""IP addresses: tests as single regular expressions, and one spelling for each."""
 
 from pyspark.sql import functions as F
 
@@ -62,3 +62,42 @@ def is_asset_ip(ip):
 def is_agent_ip(ip):
     """Any host address but loopback, unspecified and multicast ones."""
     return is_ip(ip) & ~ip.rlike(_NOT_AN_AGENT)
+
+
+def _groups(text):
+    return F.array_remove(F.split(text, ":"), "")
+
+
+def canonical_ip(ip):
+    """The one spelling of a well-formed address; IPv4 and NULL stay as they are.
+
+    IPv6: small hex groups without leading zeros, the longest run of two or more zero groups,
+    the first of equally long ones, as '::'. An IPv4 tail is kept only in mapped addresses
+    (::ffff:a.b.c.d); a scope is kept as written.
+    """
+    scope = F.regexp_extract(ip, r"(?s)%.*\z", 0)
+    body = F.lower(F.regexp_replace(ip, r"(?s)%.*\z", ""))
+    octets = [F.regexp_extract(body, r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)\z", i + 1).cast("int")
+              for i in range(4)]
+    hexed = F.when(body.contains("."), F.concat(
+        F.regexp_replace(body, r"[0-9.]+\z", ""), F.lower(F.hex(octets[0] * 256 + octets[1])),
+        F.lit(":"), F.lower(F.hex(octets[2] * 256 + octets[3])))).otherwise(body)
+    left, right = (_groups(F.split_part(hexed, F.lit("::"), F.lit(i))) for i in (1, 2))
+    zeros = F.array_repeat(F.lit("0"), F.lit(8) - F.size(left) - F.size(right))
+    groups = F.transform(F.concat(left, zeros, right),
+                         lambda g: F.regexp_replace(g, "^0+(?=.)", ""))
+    return F.when(ip.contains(":"), F.concat(F.transform(
+        F.array(F.concat_ws(":", groups)), _shortened)[0], scope)).otherwise(ip)
+
+
+def _shortened(full):
+    """Eight groups with the longest run of zeros left out, or a mapped IPv4 address."""
+    short = full
+    for length in range(2, 9):
+        run = rf"^(.*?)(?:^|:)0(?::0){{{length - 1}}}(?::|\z)(.*)\z"
+        short = F.when(full.rlike(run), F.regexp_replace(full, run, "$1::$2")).otherwise(short)
+    high, low = (F.conv(F.split_part(full, F.lit(":"), F.lit(i)), 16, 10).cast("int")
+                 for i in (7, 8))
+    mapped = F.concat(F.lit("::ffff:"), F.concat_ws(
+        ".", F.shiftright(high, 8), high % 256, F.shiftright(low, 8), low % 256))
+    return F.when(full.startswith("0:0:0:0:0:ffff:"), mapped).otherwise(short)

@@ -1,13 +1,9 @@
 """Analyst requests: check, derive the rows to append, return (accepted, rejected)."""
 
-import ipaddress
-
-import pandas as pd
 from pyspark.sql import functions as F, Window as Wnd
-from pyspark.sql.types import StringType
 
 from gridwarden.functions import constants as K
-from gridwarden.functions.addresses import is_ip
+from gridwarden.functions.addresses import canonical_ip, is_ip
 from gridwarden.functions.alerts import content_id
 from gridwarden.functions.times import epoch_micros
 
@@ -63,16 +59,8 @@ def apply_alert_actions(requests, decide=None):
     ), rejected
 
 
-@F.pandas_udf(StringType())
-def _canonical_ipv6(ips: pd.Series) -> pd.Series:
-    return ips.map(lambda ip: str(ipaddress.ip_address(ip)) if ip and ":" in ip else ip)
-
-
-def add_assets(requests, ipv6=True):
-    """(observations, admin rows, rejected) of hosts added by hand.
-
-    ``ipv6=False`` leaves IPv6 spellings as written and the plan free of Python.
-    """
+def add_assets(requests):
+    """(observations, admin rows, rejected) of hosts added by hand, each address in one spelling."""
     ip = F.btrim("ip", F.lit(" \t\n\r\x0b\x0c"))
     checked = requests.withColumn("ip", ip).fillna(
         {"zone": "IT", "owner": "", "criticality": "", "tags": "", "notes": ""},
@@ -82,8 +70,7 @@ def add_assets(requests, ipv6=True):
         .when(~_in("criticality", K.CRITICALITIES), K.INVALID_CRITICALITY)
     ))
     accepted, rejected = _split(checked)
-    if ipv6:
-        accepted = accepted.withColumn("ip", _canonical_ipv6("ip"))
+    accepted = accepted.withColumn("ip", canonical_ip(F.col("ip")))
     observations = accepted.select(
         "ip", "zone", F.col("ts").alias("first_seen"), F.col("ts").alias("last_seen"))
     admin = accepted.select("ip", "owner", "criticality", "tags", "notes", "actor", "ts")

@@ -461,6 +461,27 @@ def added_admin_rows(spark, sf):
     return commands.add_assets(A.asset_requests(spark, sf))[1]
 
 
+@query("""SELECT CASE c_custkey % 3
+        WHEN 0 THEN '2001:db8::' || lower(hex(c_custkey % 65535 + 1)) || ':0:0:1'
+        WHEN 1 THEN 'fe80::' || lower(hex(c_custkey % 65535 + 1)) || '%eth0'
+        ELSE '::ffff:10.' || (c_custkey % 256) || '.' || c_nationkey || '.7' END AS ip,
+    count(*) AS requests, max(CAST(c_custkey AS DOUBLE)) AS last_seen
+    FROM customer GROUP BY 1""")
+def added_ipv6_hosts(spark, sf):
+    """Hosts that are added under long, capital, mapped and scoped spellings, counted by one."""
+    spelled = F.expr("""CASE c_custkey % 3
+        WHEN 0 THEN format_string('2001:0DB8:0000:0:%04X:0:0:0001', c_custkey % 65535 + 1)
+        WHEN 1 THEN format_string('FE80:0:0:0:0:000:0:%04x%%eth0', c_custkey % 65535 + 1)
+        ELSE format_string('0:0::0:FFFF:10.%d.%d.7', c_custkey % 256, c_nationkey) END""")
+    requests = A.asset_requests(spark, sf).where("false").unionByName(
+        A.table(spark, sf, "customer").select(
+            spelled.alias("ip"), F.lit("IT").alias("zone"), F.col("c_name").alias("owner"),
+            *[F.lit("").alias(c) for c in ("criticality", "tags", "notes", "actor")],
+            F.col("c_custkey").cast("double").alias("ts")))
+    return commands.add_assets(requests)[0].groupBy("ip").agg(
+        F.count("*").alias("requests"), F.max("last_seen").alias("last_seen"))
+
+
 @query(S.cte("asset_requests") + f"SELECT * FROM ({_CHECKED}) WHERE error IS NOT NULL")
 def rejected_assets(spark, sf):
     return commands.add_assets(A.asset_requests(spark, sf))[2]

@@ -137,3 +137,29 @@ def test_content_id_keeps_places(spark):
 
 def test_agent_list_differs_by_one_name():
     assert set(K.OT_SERVICES) - set(K.AGENT_OT_SERVICES) == {"opc_ua_binary"}
+
+
+def test_one_spelling_of_addresses(spark):
+    """Against the standard library, over every length and place of runs of zeros."""
+    draw = random.Random(5)
+    spelled = ["10.0.0.1", "::", "::1", "1::", "::1.2.3.4", "1:2:3:4:5:6:1.2.3.4", "::FFFF:1.2.3.4",
+               "::ffff:0:0", "0:0:0:0:0:ffff:255.255.0.9", "64:ff9b::192.0.2.33", "fe80::A%Eth0",
+               "0::0.0.0.0", "1:0:0:2:0:0:0:3", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7::"]
+    for _ in range(400):
+        groups = [draw.choice((0, 0, 0, 1, 16, 0xABCD, 0xFFFF)) for _ in range(8)]
+        text = [draw.choice(("%x", "%04X", "%03x")) % g for g in groups]
+        at, to = sorted(draw.sample(range(9), 2))
+        if draw.random() < 0.5 and not any(groups[at:to]):
+            spelled.append(":".join(text[:at]) + "::" + ":".join(text[to:]))
+        else:
+            spelled.append(":".join(text))
+    df = spark.createDataFrame([(x,) for x in spelled + [None]], "ip string")
+    got = {r["ip"]: r["one"] for r in df.select(
+        "ip", G.canonical_ip(F.col("ip")).alias("one")).collect()}
+    assert got == {None: None} | {x: _standard(x) for x in spelled}
+
+
+def _standard(text):
+    address = ipaddress.ip_address(text)
+    mapped = getattr(address, "ipv4_mapped", None)  # older versions write it in hex
+    return f"::ffff:{mapped}" if mapped else str(address)
