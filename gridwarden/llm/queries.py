@@ -101,7 +101,53 @@ def op3_personal_data(spark, sf_dir):
         F.array_join(listed("spans", "kind"), ",").alias("spans"))
 
 
-@query("op4_secrets")
+def spans_sql(kinds):
+    """SQL of (doc_id, place, kind, begins, ends, value) over documents: all matches of each
+    (kind, pattern), placed by the lengths of the texts between them and of the matches."""
+    return " UNION ALL ".join(f"""
+    SELECT doc_id, {place} AS place, '{kind}' AS kind, begins, begins + length(value) AS ends, value FROM (
+        SELECT doc_id, hits[i] AS value, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x)))
+               + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT)
+               AS begins
+        FROM (SELECT doc_id, hits, gaps, unnest(range(1, len(hits) + 1)) AS i FROM (
+            SELECT doc_id, regexp_extract_all(text, '{pattern}') AS hits,
+                   regexp_split_to_array(text, '{pattern}') AS gaps FROM documents
+            WHERE regexp_matches(text, '{pattern}'))))"""
+        for place, (kind, pattern) in enumerate((k, p.replace("'", "''")) for k, p in kinds))
+
+
+def listed_sql(base):
+    """SQL of each document's counts and digest of its ``base`` kinds, and of all its spans,
+    from a CTE ``kept`` with the columns of ``spans_sql``."""
+    listed = "string_agg(kind || ':' || begins || ':' || ends, ',' ORDER BY begins, place)"
+    of_base = f"kind IN ({', '.join(repr(k) for k in base)})"
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in base)
+    return f"""
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in base)},
+       sha256(coalesce(strict, '')) AS base_sha256, coalesce(every, '') AS spans
+FROM documents LEFT JOIN (
+    SELECT doc_id, {counts}, {listed} FILTER ({of_base}) AS strict, {listed} AS every
+    FROM kept GROUP BY 1) USING (doc_id)"""
+
+
+#: The base patterns as the contract has them, and the added rules.
+_SECRETS_SQL = (
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?"""
+               r"([A-Za-z0-9+/_.=-]+)"),
+    ("access", r"AKIA[A-Z0-9]+"), ("hex", r"[0-9a-f]+"),
+    ("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*"
+            r"(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}"), ("slack", r"xox[abpr]-[A-Za-z0-9-]{10,}"))
+
+
+@query("op4_secrets", f"""
+WITH found AS ({spans_sql(_SECRETS_SQL)}),
+kept AS (SELECT * FROM found WHERE CASE kind
+    WHEN 'assign' THEN length(regexp_extract(value, '{_SECRETS_SQL[0][1].replace("'", "''")}', 2)) >= 12
+    WHEN 'access' THEN length(value) >= 18 WHEN 'hex' THEN length(value) >= 16 ELSE true END)
+{listed_sql(("assign", "access", "hex"))}
+""")
 def op4_secrets(spark, sf_dir):
     found = secrets.findings(read(spark, sf_dir, "documents"), fresh_path(spark, "secret-ledger"))
     base = F.filter("spans", lambda s: s["rule"].isin(*secrets.BASE))
@@ -153,7 +199,15 @@ def op8_quality(spark, sf_dir):
         "doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
-@query("op9_warc")
+@query("op9_warc", """
+WITH bodies AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+firsts AS (SELECT digest, min(page_id) AS first FROM bodies WHERE n >= 100 GROUP BY 1)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM bodies LEFT JOIN firsts USING (digest)
+""")
 def op9_warc(spark, sf_dir):
     path = fresh_path(spark, "archives")
     warc.write_archives(read(spark, sf_dir, "pages"), path)
