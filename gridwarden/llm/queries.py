@@ -315,3 +315,55 @@ FROM ranked
 """)
 def op13_importance(spark, sf_dir):
     return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+# -- base columns that have SQL where the whole result has none -----------------------------
+
+_PERSONAL_SQL = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+@query("base_personal_data", f"""
+WITH found AS (
+    SELECT *, regexp_replace(value, '[^0-9]', '', 'g') AS digits FROM ({spans_sql(_PERSONAL_SQL)})),
+kept AS (SELECT * FROM found WHERE CASE kind
+    WHEN 'ip' THEN list_max(list_transform(string_split(value, '.'),
+        lambda x: coalesce(try_cast(x AS BIGINT), 256))) <= 255
+    WHEN 'card' THEN length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(
+        range(length(digits)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(digits[-i - 1] AS BIGINT)
+        ELSE CAST(digits[-i - 1] AS BIGINT) * 2 - 9 * CAST(CAST(digits[-i - 1] AS BIGINT) > 4 AS BIGINT)
+        END)) % 10 = 0
+    WHEN 'phone' THEN length(digits) BETWEEN 10 AND 15 ELSE true END)
+SELECT * EXCLUDE (spans) FROM ({listed_sql(("email", "ip", "card", "phone"))})
+""")
+def base_personal_data(spark, sf_dir):
+    """What op3 finds by its base patterns, without what its method adds."""
+    return op3_personal_data(spark, sf_dir).drop("spans")
+
+
+@query("base_quality_rules", r"""
+WITH split AS (
+    SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split(coalesce(text, ''), chr(10)),
+               lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+    SELECT doc_id, unnest(range(1, len(w) - 6)) AS i,
+           unnest(list_transform(range(1, len(w) - 6), lambda k: w[k:k + 7])) AS words
+    FROM split WHERE len(w) >= 8),
+again AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, words) > 1),
+covered AS (SELECT doc_id, count(DISTINCT k) AS n
+    FROM (SELECT doc_id, unnest(range(i, i + 8)) AS k FROM again) GROUP BY 1),
+figures AS (
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+           CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+           length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+           CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+           coalesce(n, 0) AS n_repeat_words
+    FROM split LEFT JOIN covered USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM figures
+""")
+def base_quality_rules(spark, sf_dir):
+    """The figures and base rules of op10, without its method's verdict."""
+    return op10_quality_rules(spark, sf_dir).drop("kept")
