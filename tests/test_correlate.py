@@ -264,3 +264,64 @@ def test_cosine_of_zero_vector_is_null(spark):
                                "a array<float>, b array<float>")
     got = [r[0] for r in df.select(cosine_distance(F.col("a"), F.col("b"))).collect()]
     assert got == [None, 1.0]
+
+
+def test_first_matches_stay_with_their_product(spark, monkeypatch):
+    """Wide rows, one per product and vulnerability, are not shuffled; more pairs than are sent
+    to every task give the same rows."""
+    installed = correlate.numbered(spark.createDataFrame(
+        [(f"h{i % 7}", f"n{i % 3}", f"t{i % 5}", str(i)) for i in range(60)],
+        "host string, name string, software string, id string").groupBy(
+        "host", "name", "software").agg({"id": "min"}).withColumnRenamed("min(id)", "id"))
+    fuzzy_pairs = spark.createDataFrame(
+        [(f"t{i % 5}", f"c{i % 11}", i) for i in range(40)], "software string, cve_id string, pos long")
+    near = spark.createDataFrame(
+        [(f"t{i}", f"c{i + 8}", 1) for i in range(5)], "software string, cve_id string, pos long")
+    columns = ["host", "name", "cve_id", "software", "id", "match_rank", "pos"]
+    found = correlate.first_per_key(installed, fuzzy_pairs, near)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan
+    assert not [line for line in plan.splitlines() if "hashpartitioning" in line and (
+        "cve_id" in line or "version_no" in line)]
+    monkeypatch.setattr(correlate, "BROADCAST_PAIRS", 0)
+    other = correlate.first_per_key(installed, fuzzy_pairs, near)
+    assert rows(found, *columns) == rows(other, *columns) != []
+    versions = {}
+    for r in installed.collect():
+        versions.setdefault((r.host, r.name), []).append((r.version_no, r.software, r.id))
+    pairs = [(r.software, r.cve_id, rank, r.pos) for rank, p in enumerate((fuzzy_pairs, near))
+             for r in p.collect()]
+    expected = {}
+    for product, listed in versions.items():
+        for no, text, i in sorted(listed):
+            for software, cve, rank, pos in sorted(pairs, key=lambda x: x[2:]):
+                if software == text:
+                    expected.setdefault((*product, cve), (text, i, rank, pos))
+    assert rows(found, *columns) == sorted((*k, *v) for k, v in expected.items())
+
+
+def test_pieces_of_a_cell_do_not_multiply_the_shuffle(spark):
+    """What is dealt out grows with the rows, not with the number of pieces."""
+    from gridwarden.operators.blocks import cell_join
+    left = spark.range(1000).selectExpr("id", "0 AS cell")
+    right = spark.range(500).selectExpr("id", "0 AS cell")
+
+    def sizes(a, b):
+        import pyarrow as pa
+        return pa.table({"n": [len(a) * len(b)], "rows": [len(b)]})
+
+    def joined(pieces):
+        return cell_join(left, right, "id", "id", pieces, pieces, sizes, "n long, rows long")
+
+    for pieces in (7, 1000):
+        assert joined(pieces).agg({"n": "sum"}).first()[0] == 500_000
+        assert joined(pieces).agg({"rows": "max"}).first()[0] <= pieces
+
+    def once(a, b):
+        import pyarrow as pa
+        return pa.table({"n": [len(b)], "rows": [len(a)]})
+
+    # Every left row comes to one task, and finds the whole right side there.
+    met = cell_join(left, right, "id", "id", 1, 500, once, "n long, rows long")
+    assert met.agg({"rows": "sum", "n": "min"}).first() == (1000, 500)
+    assert "CoGroup" not in met._jdf.queryExecution().executedPlan().toString()
