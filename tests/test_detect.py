@@ -187,6 +187,52 @@ def test_state_of_a_hot_source_is_bounded_by_ports_and_empty_at_the_end(monkeypa
         (round(t * 1e6), round(w * 1e6)) for t, w in replay(events))
 
 
+def test_scattered_rows_of_a_hot_source_wait_in_few_parts(monkeypatch):
+    import pandas as pd
+    from gridwarden.streaming import scans as scans_stream
+
+    width, timers, held, written = 60_000_000, set(), {}, []
+
+    class Handle:
+        registerTimer = staticmethod(timers.add)
+
+        def getValueState(self, name, schema):
+            return held.setdefault(name, _Held())
+
+        def getMapState(self, name, key, value):
+            return held.setdefault(name, _Held())
+
+    class Watermark:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    monkeypatch.setattr(scans_stream, "ROWS_AT_ONCE", 4_000)
+    tracker = scans_stream.ScanTracker(15, width, True, width)
+    tracker.init(Handle())
+    update = held["waiting"].updateValue
+    held["waiting"].updateValue = lambda *a: written.append(a[0]) or update(*a)
+    rng = random.Random(9)
+    # 30,000 rows in batches that each touch most of 500 slots
+    events = [(rng.randrange(500 * width), rng.randrange(40)) for _ in range(30_000)]
+    frames = [pd.DataFrame(events[at:at + 1000], columns=["us", "port"]).assign(
+        proto="tcp", dst="d") for at in range(0, len(events), 1000)]
+    for at in range(0, len(frames), 10):
+        list(tracker.handleInputRows(("s",), frames[at:at + 10], None))
+    assert len(written) <= 3 * 3 * (scans_stream.PARTS + 1)
+    found = []
+    # the watermark stops inside parts, too
+    for ms in [*range(0, 30_000_000, 700_000), 40_000_000]:
+        if due := {t for t in timers if t <= ms}:
+            timers -= due
+            found += list(tracker.handleExpiredTimer(("s",), Watermark(ms), None))
+    assert not any(h.rows for h in held.values())
+    assert [tuple(r) for f in found for r in f[["us", "start"]].itertuples(index=False)] == sorted(
+        (round(t * 1e6), round(w * 1e6)) for t, w in replay(events))
+
+
 def replay(events, threshold=15, width=60.0):
     """(time, window start) of each notice of one source, event by event."""
     start, ports, out = None, set(), []
