@@ -65,9 +65,21 @@ def repeated_words(words, window=WINDOW):
 
     exact = bind(words, lambda w: bind(F.sort_array(F.transform(starts, lambda i: F.struct(
         F.array_join(F.slice(w, i, window), " ").alias("window"), i.alias("at")))), covered))
-    hashes = F.transform(starts, lambda i: F.xxhash64(
-        *[F.get(words, i - 1 + k) for k in range(window)]))
-    repeats = bind(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
+
+    def again(runs, length):
+        """Whether a window is there twice, by the hashes of all runs of ``length`` words: a
+        longer run's is made of two of them. A text without a repeated half has no repeat."""
+        if length == window:
+            return F.size(F.array_distinct(runs)) < F.size(runs)
+        longer = min(2 * length, window)
+        pairs = F.transform(F.sequence(F.lit(0), F.size(words) - longer), lambda i: F.xxhash64(
+            F.get(runs, i), F.get(runs, i + (longer - length))))
+        if longer == window or 2 * longer < window:
+            return bind(pairs, lambda more: again(more, longer))
+        return bind(pairs, lambda more: (F.size(F.array_distinct(more)) < F.size(more))
+                    & again(more, longer))
+
+    repeats = bind(F.transform(words, lambda w: F.xxhash64(w)), lambda runs: again(runs, 1))
     return F.when(F.size(words) <= window, 0).when(repeats, exact).otherwise(0)
 
 

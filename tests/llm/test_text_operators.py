@@ -205,3 +205,26 @@ def test_pair_terms_in_linear_time():
     slots = np.flatnonzero(x)
     pairs = sum(machine.v[i] @ machine.v[j] * x[i] * x[j] for i in slots for j in slots if i < j)
     assert np.allclose(machine.raw([(slots, x[slots])])[0], pairs)
+
+
+def test_repeated_words_of_small_vocabularies(spark):
+    """Repeated halves of windows, overlapping and adjacent repeats, against plain counting."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from gridwarden.llm import rules
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abc"[:rng.randint(1, 3)], k=rng.randint(0, 40)))
+             for _ in range(60)]
+    texts += ["a b c d e f g h " * 2, "a b c d x a b c d y a b c d z", "p q r s t u v w x"]
+
+    def plain(words):
+        windows = [tuple(words[i:i + 8]) for i in range(len(words) - 7)]
+        hit = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(8)}
+        return len(hit)
+
+    df = spark.createDataFrame([(i, t.split()) for i, t in enumerate(texts)],
+                               "i int, words array<string>")
+    found = dict(map(tuple, df.select("i", rules.repeated_words(F.col("words"))).collect()))
+    assert found == {i: plain(t.split()) for i, t in enumerate(texts)}
