@@ -223,3 +223,42 @@ def test_matches_follow_software_and_list(spark, tmp_path, monkeypatch):
     batch = spark.createDataFrame(more, schemas.SOFTWARE)
     matching.update_matches(batch, 3, root, path, encoder, "t")
     assert rows(streaming.read_matches(spark, root, checkpoint)) == got
+
+
+def test_changes_of_a_product_are_one_row(spark, tmp_path):
+    """Matches are kept without scores, descriptions and ids, one row per product and batch;
+    reading shuffles only these, once. Unlisted and withdrawn vulnerabilities go, others stay."""
+    from gridwarden.streaming import matching
+    root, path, encoder = str(tmp_path / "store"), str(tmp_path / "state"), vectors.hashing_encoder(16)
+    names = "pos long, cve_id string, keyword string, description string, cvss_score double"
+    no_id = (8, None, "openssh", "no id", 8.0)
+    first = [(i, f"C{i}", "openssh", f"flaw {i} in openssh", float(i)) for i in range(6)]
+    second = [(0, "C0", "openssh", "told otherwise", 9.0), *first[1:4],
+              (7, "C7", "nginx", "flaw in nginx", 7.0), no_id]
+    seen = []
+    for batch_id, (listed, hosts) in enumerate(
+            [([*first, no_id], ("h0", "h1", None)), (second, ("h1", "h2"))]):
+        cves = spark.createDataFrame(listed, names)
+        sinks.replace(cves, root, "cve_list", float(batch_id))
+        more = [(f"{batch_id}-{h}-{n}", 1.0, h, "t", n, "1") for h in hosts
+                for n in ("openssh", "nginx")]
+        more += more[:1]
+        seen += more
+        matching.update_matches(spark.createDataFrame(more, schemas.SOFTWARE), batch_id, root,
+                                path, encoder, f"t{batch_id}")
+        software = spark.createDataFrame(seen, schemas.SOFTWARE)
+        want = correlate.match_software(
+            software, cves, correlate.build_cve_reference(cves, encoder), encoder, "t")
+        columns = [c for c in want.columns if c != "ts"]
+        store = matching._Store(spark, path, 1 << 62)
+        got = matching.read_stored(store)
+        key = [x if x != "cve_id" else "coalesce(cve_id, '') AS cve_id" for x in columns]
+        assert rows(got.selectExpr(*key)) == rows(want.selectExpr(*key))
+    assert {(h, c, t) for h, c, t in rows(got.where("software = 'openssh 1' AND cve_id < 'C2'"),
+                                          "host", "cve_id", "ts")} >= {
+        ("h0", "C0", "t1"), ("h0", "C1", "t0"), ("h2", "C1", "t1")}
+    stored = store.read("product_changes")
+    assert stored.columns == ["host", "name", "ts", "changes", "batch"]
+    assert stored.count() == stored.select("host", "name", "batch").distinct().count()
+    plan = matching._live(stored)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
