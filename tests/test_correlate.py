@@ -7,6 +7,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from gridwarden.operators import correlate, fuzzy, vectors
+from gridwarden.session import materialize
 from gridwarden.sources import flatten_nvd, flatten_stix, load_nvd, load_stix
 
 CVE = "pos long, cve_id string, keyword string, description string, cvss_score double"
@@ -325,3 +326,29 @@ def test_pieces_of_a_cell_do_not_multiply_the_shuffle(spark):
     met = cell_join(left, right, "id", "id", 1, 500, once, "n long, rows long")
     assert met.agg({"rows": "sum", "n": "min"}).first() == (1000, 500)
     assert "CoGroup" not in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_products_are_shuffled_once_and_are_one_row(spark):
+    """Software is dealt by its products once, however often it repeats; what is kept of it and
+    shuffled again is one row per product."""
+    def shuffles(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    software = spark.createDataFrame(
+        [(i, 0.0, "h", "t", n, v) for i, n, v in [
+            ("5", "ssh", "1"), ("2", "ssh", "2"), ("9", "ssh", "2"), ("1", "ssh", None),
+            ("3", "zip", "1"), ("4", None, "")]], SOFTWARE)
+    products = correlate.by_product(correlate.installed_texts(software))
+    assert shuffles(products) == 1
+    assert rows(products) == [
+        ("h", "ssh", ["ssh", "ssh 2", "ssh 1"], ["1", "2", "5"]), ("h", "zip", ["zip 1"], ["3"])]
+    pairs = spark.createDataFrame(
+        [("ssh 1", "C1", 0), ("ssh 2", "C1", 3), ("ssh 2", None, 4), ("zip 1", "C1", 1)],
+        "software string, cve_id string, pos long")
+    kept = materialize(products, "products")
+    found = correlate.first_per_product(kept.drop("ids"), pairs)
+    assert shuffles(found) == 1
+    columns = ["name", "software", "pos"]
+    assert rows(found, *columns) == [("ssh", "ssh 2", 3), ("ssh", "ssh 2", 4), ("zip", "zip 1", 1)]
+    assert rows(correlate.first_per_product(kept, pairs), *columns, "id") == [
+        ("ssh", "ssh 2", 3, "2"), ("ssh", "ssh 2", 4, "2"), ("zip", "zip 1", 1, "3")]
