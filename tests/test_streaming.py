@@ -262,3 +262,35 @@ def test_changes_of_a_product_are_one_row(spark, tmp_path):
     assert stored.count() == stored.select("host", "name", "batch").distinct().count()
     plan = matching._live(stored)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_installed_rows_are_dealt_once_and_changes_are_numbers(spark):
+    """New rows meet known products in one shuffle; a product's changes hold the codes that are
+    gone and found, and add up to its matches."""
+    from gridwarden.streaming import matching
+    new = spark.createDataFrame(
+        [(i, 0.0, "h", "t", "ssh", v) for i, v in [("3", "1"), ("0", "2"), ("7", "2")]],
+        schemas.SOFTWARE)
+    known = spark.createDataFrame(
+        [("h", "ssh", ["ssh 3", "ssh 1"], ["4", "5"]), ("h", "zip", ["zip"], ["1"])],
+        matching._STATE["installed"])
+    met = matching._installed(new, known)
+    assert met._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert rows(met, "name", "texts", "fresh.software", "fresh.id", "touched") == [
+        ("ssh", ["ssh 2", "ssh 1", "ssh 3"], ["ssh 2", "ssh 1"], ["0", "3"], True),
+        ("zip", ["zip"], [], [], False)]
+
+    def found(*matches):
+        return spark.createDataFrame(
+            [("h", "ssh", list(matches))], "host string, name string, "
+            "matches array<struct<software: string, codes: array<int>>>")
+
+    stored = spark.createDataFrame([], matching._STATE["product_changes"] + ", batch bigint")
+    wanted = [([], [("a", [2, 4]), ("b", [6])]), ([4, 6], [("b", [4, 9])]), ([2], [])]
+    for batch, matches in enumerate([
+            [("a", [2, 4]), ("b", [6])], [("a", [2]), ("b", [4, 9])], [("b", [4, 9])]]):
+        changes = matching._differences(found(*matches), matching._live(stored), f"t{batch}")
+        assert rows(changes, "changes.gone", "changes.live") == [wanted[batch]]
+        stored = stored.unionByName(changes.withColumn("batch", F.lit(batch).cast("long")))
+    assert rows(matching._matches(matching._live(stored)), "ts", "software", "no", "match_rank") == [
+        ("t1", "b", 2, 0), ("t1", "b", 4, 1)]
