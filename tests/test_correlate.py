@@ -352,3 +352,31 @@ def test_products_are_shuffled_once_and_are_one_row(spark):
     assert rows(found, *columns) == [("ssh", "ssh 2", 3), ("ssh", "ssh 2", 4), ("zip", "zip 1", 1)]
     assert rows(correlate.first_per_product(kept, pairs), *columns, "id") == [
         ("ssh", "ssh 2", 3, "2"), ("ssh", "ssh 2", 4, "2"), ("zip", "zip 1", 1, "3")]
+
+
+def test_neighbours_are_screened_in_single_precision(monkeypatch):
+    """Nearest references are those of double precision, also among equal and all but equal ones;
+    most are ruled out without being measured, and each piece's references are prepared once."""
+    rng = np.random.default_rng(3)
+
+    def units(n):
+        m = rng.normal(size=(n, 16))
+        return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+
+    queries, refs = units(60), units(3000)
+    refs[100:200] = refs[0]  # equal ones
+    refs[300:400] = refs[0] + 1e-7 * units(100)
+    refs[300:400] /= np.sqrt((refs[300:400] ** 2).sum(axis=1, keepdims=True))
+    queries[0] = refs[0]
+    dist = np.round(1.0 - queries @ refs.T, 9) + 0.0
+    measured = []
+    einsum = np.einsum
+    monkeypatch.setattr(np, "einsum", lambda how, a, b: measured.append(len(a)) or einsum(how, a, b))
+    for far, right_rows in ((9.0, 32), (9.0, 5000), (0.3, 64)):
+        measured.clear()
+        row, ref, value, rank = vectors._top_k(
+            queries, refs, refs.astype(np.float32), np.full(60, far), 3, right_rows)
+        want = [(i, j, n + 1, dist[i, j]) for i in range(60)
+                for n, j in enumerate(np.argsort(dist[i], kind="stable")[:3]) if dist[i, j] <= far]
+        assert list(zip(row, ref, rank, value)) == want
+        assert sum(measured) < dist.size / 20
